@@ -4,25 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratograph.llm import mixing, sharding
+from stratograph.llm import decontamination, minhash, mixing, quality_classifier, sharding
+from stratograph.llm._spark import read_table, written
 
 
-def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones among them, accepts."""
+    weights = quality_classifier.train(docs, read_table(spark, sf_dir, "labels"))
+    return quality_classifier.accepted(docs, weights)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return minhash.deduplicated(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontamination.decontaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents as often as their source's budget takes them."""
     return mixing.mixed_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix in equal shards, copies together: the columns of documents, shard and slot."""
     return sharding.sharded_documents(docs)
 
 
-STAGES = [("source_mixing", source_mixing), ("sharding", shard)]
-#: Training, label propagation and token ids are beyond SQL.
+STAGES = [
+    ("quality_classifier", classify_quality),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", decontaminate),
+    ("source_mixing", mix_sources),
+    ("sharding", shard),
+]
+
+#: A trained classifier and label propagation are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from stratograph.llm._spark import read_table, written
-
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")

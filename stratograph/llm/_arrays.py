@@ -137,3 +137,25 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
         h += hashes[k : n + k]
         h ^= h >> U(29)
     return mixed(h)
+
+
+def grouped(batches, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.Table]:
+    """The rows of Arrow batches in groups with at most ``most_bytes`` in ``column``; a longer text is alone."""
+    held, size = [], 0
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index(column))
+        for a, b in chunks_of(texts, most_bytes):
+            part = batch.slice(a, b - a)
+            n = int(texts_of(texts.slice(a, b - a))[1][-1])
+            if held and size + n > most_bytes:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
+    """A list array with ``counts[i]`` of the values in row i."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)

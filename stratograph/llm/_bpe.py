@@ -9,16 +9,21 @@ white space stands next to a space, or a tokenizer of another make, goes to the
 from __future__ import annotations
 
 import os
-import re
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 
-#: A space with white space beside it, or at an end of the text: no cut there.
-UNSAFE = re.compile(r"\A\s| \s|\s |\s\Z")
-MAX_KEPT = 300_000
+#: Distinct pieces that a worker keeps from one block to the next, about 150 bytes each.
+MAX_KEPT = 600_000
 JOINED = 2_000
 
 
+def unsafe(piece: str) -> bool:
+    """Whether white space stands beside a space that cuts this piece off."""
+    return not piece or piece[0].isspace() or piece[-1].isspace()
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,24 +53,32 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        #: numbers the pieces in the order in which they are first asked for
+        self.known: dict[str, int] = defaultdict(count().__next__)
         self.flat = np.zeros(0, dtype=np.uint32)
         self.starts = np.zeros(1, dtype=np.int64)
+        self.unsafe = np.zeros(0, dtype=bool)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Ids of pieces that are new; each is encoded behind a space."""
-        got = self.library.encode_batch_fast([" " + " ".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)], add_special_tokens=False)
-        flat = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in got])
-        begins = np.flatnonzero(self.opens[flat])
-        if len(begins) != len(pieces):  # a piece whose space stands alone: encode them one by one
-            each = self._whole([" " + p for p in pieces])
-            flat, begins = np.concatenate(each), np.cumsum([0, *map(len, each)])[:-1]
-        at = len(self.flat)
+        """Ids of pieces that are new; each is encoded behind a space.  Unsafe ones get none."""
+        bad = np.fromiter(map(unsafe, pieces), dtype=bool, count=len(pieces))
+        good = [p for p, b in zip(pieces, bad.tolist()) if not b] if bad.any() else pieces
+        lengths = np.zeros(len(pieces), dtype=np.int64)
+        flat = np.zeros(0, dtype=np.uint32)
+        if good:
+            joined = [" " + " ".join(good[i : i + JOINED]) for i in range(0, len(good), JOINED)]
+            flat = np.concatenate(self._whole(joined))
+            begins = np.flatnonzero(self.opens[flat])
+            if len(begins) != len(good):  # a token of a space alone: encode the pieces one by one
+                each = self._whole([" " + p for p in good])
+                flat, begins = np.concatenate(each), np.cumsum([0, *map(len, each)])[:-1]
+            lengths[~bad] = np.diff(np.append(begins, len(flat)))
         self.flat = np.concatenate([self.flat, flat])
-        self.starts = np.concatenate([self.starts[:-1], at + begins, [at + len(flat)]])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        self.unsafe = np.concatenate([self.unsafe, bad])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, n + 1 offsets).  Give texts of a few MB at a time."""
@@ -74,38 +87,35 @@ class Encoder:
             return np.concatenate([np.zeros(0, np.uint32), *each]), np.cumsum([0, *map(len, each)])
         if len(self.known) > MAX_KEPT:
             self._clear()
-        cut = [t != "" and not UNSAFE.search(t) for t in texts]
-        known, new, places, counts, heads = self.known, [], [], [], []
-        for text, safe in zip(texts, cut):
-            if not safe:
-                counts.append(0)
-                continue
-            head, *pieces = text.split(" ")
-            heads.append(head)
-            counts.append(len(pieces))
-            for p in pieces:
-                i = known.get(p)
-                if i is None:
-                    i = known[p] = len(known)
-                    new.append(p)
-                places.append(i)
-        if new:
-            self._learn(new)
-        alone = iter(self._whole([t for t, safe in zip(texts, cut) if not safe]))
-        first = iter(self._whole(heads))
-        places_of = np.array(places, dtype=np.int64)
-        begin, length = self.starts[places_of], np.diff(self.starts)[places_of]
+        split = [t.split(" ") for t in texts]
+        heads = [x[0] for x in split]
+        counts = np.array([len(x) - 1 for x in split], dtype=np.int64)
+        total = int(counts.sum())
+        old = len(self.known)
+        pieces = chain.from_iterable(islice(x, 1, None) for x in split)
+        places = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=total)
+        if len(self.known) > old:
+            self._learn(list(islice(self.known, old, None)))
+        firsts = np.cumsum(counts) - counts
+        bad = np.zeros(len(texts), dtype=np.int64)
+        some = counts > 0
+        if total:
+            bad[some] = np.add.reduceat(self.unsafe[places].astype(np.int64), firsts[some])
+        whole = [k for k, h in enumerate(heads) if bad[k] or (counts[k] and (not h or h[-1].isspace()))]
+        apart = dict(zip(whole, self._whole([texts[k] for k in whole])))
+        first = self._whole([h if k not in apart else "" for k, h in enumerate(heads)])
+        begin, length = self.starts[places], np.diff(self.starts)[places]
         # one gather for all pieces: within a piece the places follow each other
         ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        body = self.flat[np.repeat(begin - (ends - length), length) + np.arange(total)]
-        upto = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
-        out, sizes = [], []
-        for k, safe in enumerate(cut):
-            parts = [next(first), body[upto[k] : upto[k + 1]]] if safe else [next(alone)]
+        size = int(ends[-1]) if total else 0
+        body = self.flat[np.repeat(begin - (ends - length), length) + np.arange(size)]
+        upto = np.concatenate([[0], ends])[np.concatenate([firsts, [total]])]
+        out, sizes = [np.zeros(0, np.uint32)], []
+        for k in range(len(texts)):
+            parts = [apart[k]] if k in apart else [first[k], body[upto[k] : upto[k + 1]]]
             out += parts
             sizes.append(sum(map(len, parts)))
-        return np.concatenate([np.zeros(0, np.uint32), *out]), np.cumsum([0, *sizes])
+        return np.concatenate(out), np.cumsum([0, *sizes])
 
 
 _made: dict[str, Encoder] = {}

@@ -1,6 +1,6 @@
-"""Queries over the driver's tables and their SQL."""
+"""All queries over the driver's tables and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import graph_queries  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401

@@ -38,10 +38,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """``df`` written to the shared folder and read again: the lineage ends there."""
+#: Rows of a scratch file where the number of rows is known.
+FILE_ROWS = 25_000
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy", rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again: the lineage ends there.
+
+    ``rows``: how many there are at most, if that is known; small tables then make few files.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -26,6 +26,8 @@ MAX_REMOVED_SHARE = 0.5
 MIN_WORDS_LEFT = 10
 #: Up to so many over-limit lines (hash and host: under 64 bytes each) are broadcast; beyond, the join shuffles.
 MAX_BROADCAST_LINES = 200_000
+#: Up to so many documents that lose lines are broadcast (row and words: 16 bytes each).
+MAX_BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -137,7 +139,8 @@ def line_frequency_rules(
     or leave fewer than ``min_left``.
     """
     base = written(base_counts(docs), "line-hashes")
-    over = written(boilerplate_lines(base, min_docs, share), "over-limit")
+    # a line is over the limit in min_docs documents at least, so these are few; eight tasks write them
+    over = written(boilerplate_lines(base, min_docs, share).coalesce(8), "over-limit")
     found = F.broadcast(over) if over.count() <= MAX_BROADCAST_LINES else over
     found = found.select(F.col("host").alias("of_host"), F.col("line").alias("of_line"))
     removed = (
@@ -147,7 +150,9 @@ def line_frequency_rules(
         .groupBy("row")
         .agg(F.sum("words").alias("removed_words"))
     )
-    out = base.drop("lines").join(removed, "row", "left")
+    removed = written(removed, "removed")
+    few = removed.count() <= MAX_BROADCAST_ROWS
+    out = base.drop("lines").join(F.broadcast(removed) if few else removed, "row", "left")
     removed_words = F.coalesce("removed_words", F.lit(0)).cast("long")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = (removed_words > max_removed * F.col("n_words")) | (

@@ -49,6 +49,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE,
     listed = written(
         sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))),
         "sources",
+        rows=1,
     )
     cap = F.col("source_size") * max_epochs
     budget = (listed.agg(F.sum("source_size")).first()[0] or 0) * total_share
@@ -66,12 +67,13 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE,
 def mixing_plan(rows: DataFrame, **how) -> DataFrame:
     """One row per source: source_size, target, epochs, cut_key, cut_id, cut_words.  ``rows``: source, doc_id, key, size."""
     ranges = rows.groupBy("source", F.substring("key", 1, RANGE_DIGITS).alias("part")).agg(F.sum("size").alias("part_size"))
-    ranges = written(ranges, "ranges")
+    ranges = written(ranges.coalesce(8), "ranges")
     goal = targets(ranges.groupBy("source").agg(F.sum("part_size").alias("source_size")), **how)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = written(
         goal.withColumn("epochs", whole).withColumn("rest", F.rint(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")),
         "goals",
+        rows=1,
     )
     named = goal.withColumnRenamed("source", "of")
     up_to = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -104,7 +106,7 @@ def mixing_plan(rows: DataFrame, **how) -> DataFrame:
 
 def few(df: DataFrame, most: int) -> DataFrame:
     """``df`` for a broadcast, if it has at most ``most`` rows."""
-    df = written(df, "few")
+    df = written(df, "few", rows=1)
     return F.broadcast(df) if df.count() <= most else df
 
 

@@ -55,8 +55,8 @@ def quotas(rows: int, shards: int) -> list[int]:
 
 def propagate(atoms: DataFrame, quota: list[int], max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Rounds of balanced label propagation over atoms; two quiet rounds end it.  The driver sees one row per shard."""
-    shards = len(quota)
-    atoms = written(atoms, "labels")
+    shards, rows = len(quota), sum(quota)
+    atoms = written(atoms, "labels", rows=rows)
     quiet = 0
     for turn in range(max_rounds):
         load = {r["shard"]: r["n"] for r in atoms.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
@@ -77,7 +77,7 @@ def propagate(atoms: DataFrame, quota: list[int], max_rounds: int = MAX_ROUNDS)
         )
         level = F.lit(63) - F.least(F.floor(F.log2(F.col("gain").cast("double"))), F.lit(63))
         step = (level * STEPS + F.pmod(F.xxhash64("key", "salt", F.lit(turn)), F.lit(STEPS))).cast("int")
-        wish = written(wish.withColumn("step", step), "wishes")
+        wish = written(wish.withColumn("step", step), "wishes", rows=rows)
         # rows wished for by shard and step: few rows, whatever the number of atoms
         line = Window.partitionBy("to").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         steps = wish.groupBy("to", "step").agg(F.sum("n").alias("m")).withColumn("upto", F.sum("m").over(line))
@@ -87,6 +87,7 @@ def propagate(atoms: DataFrame, quota: list[int], max_rounds: int = MAX_ROUNDS)
         new = written(
             atoms.join(moved, ["key", "salt"], "left").select("key", "salt", "n", F.coalesce("to", "shard").alias("shard"), F.col("to").isNotNull().alias("moved")),
             "labels",
+            rows=rows,
         )
         quiet = 0 if new.where("moved").limit(1).count() else quiet + 1
         forget(atoms)
@@ -97,12 +98,12 @@ def propagate(atoms: DataFrame, quota: list[int], max_rounds: int = MAX_ROUNDS)
     return atoms
 
 
-def numbered(df: DataFrame, by: list[str], order: list, buckets: int, name: str) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: list, shards: int, buckets: int, name: str) -> DataFrame:
     """``df`` with ``place``: its rows' number from 0 within ``by``, by prefix sums over hash buckets of ``bucket``."""
     df = df.withColumn("__b", F.pmod(F.col("bucket"), F.lit(buckets)))
     counts = df.groupBy(*by, "__b").agg(F.count("*").alias("c"))
     line = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = written(counts.withColumn("__start", F.sum("c").over(line) - F.col("c")).drop("c"), name)
+    starts = written(counts.withColumn("__start", F.sum("c").over(line) - F.col("c")).drop("c"), name, rows=shards * buckets)
     inside = Window.partitionBy(*by, "__b").orderBy(*order)
     out = df.join(starts, [*by, "__b"]).withColumn("place", F.col("__start") + F.row_number().over(inside) - 1)
     return out.drop("__b", "__start", "bucket")
@@ -118,13 +119,14 @@ def assign(docs: DataFrame, shards: int = 16, carry: tuple[str, ...] = (), max_r
     labelled = rows.join(atoms.select("key", "salt", "shard"), ["key", "salt"], "left")
     linked = labelled.where("shard is not null").withColumn("bucket", F.xxhash64("key", "salt"))
     # a shard that its first, random labels overfilled gives up what stands beyond its quota
-    linked = numbered(linked, ["shard"], ["key", "row"], buckets, "linked-starts")
+    linked = numbered(linked, ["shard"], ["key", "row"], shards, buckets, "linked-starts")
     fits = F.col("place") < F.element_at(F.array(*[F.lit(q) for q in quota]), F.col("shard") + 1)
     placed = written(
         linked.select(*[c for c in linked.columns if c not in ("place", "shard")], F.when(fits, F.col("shard")).alias("shard")).unionByName(
             labelled.where("shard is null")
         ),
         "placed",
+        rows=total,
     )
     have = {r["shard"]: r["n"] for r in placed.where("shard is not null").groupBy("shard").agg(F.count("*").alias("n")).collect()}
     ends, upto = [], 0
@@ -132,11 +134,11 @@ def assign(docs: DataFrame, shards: int = 16, carry: tuple[str, ...] = (), max_r
         upto += quota[s] - have.get(s, 0)
         ends.append(upto)
     rest = placed.where("shard is null").drop("shard").withColumn("bucket", F.xxhash64("row", F.lit(1))).withColumn("all", F.lit(0))
-    rest = numbered(rest, ["all"], ["row"], buckets * shards, "rest-starts").drop("all")
+    rest = numbered(rest, ["all"], ["row"], 1, buckets * shards, "rest-starts").drop("all")
     fill = F.aggregate(F.array(*[F.lit(e) for e in ends]), F.lit(0), lambda acc, e: acc + F.when(F.col("place") >= e, 1).otherwise(0))
     rest = rest.withColumn("shard", fill.cast("int")).drop("place")
     both = placed.where("shard is not null").unionByName(rest).withColumn("bucket", F.xxhash64("row", F.lit(2)))
-    out = numbered(both, ["shard"], ["row"], buckets, "slot-starts")
+    out = numbered(both, ["shard"], ["row"], shards, buckets, "slot-starts")
     return out.select(
         "doc_id", "size", "text_crc32", "key", F.lit("rows").alias("law"), "shard", F.col("place").cast("long").alias("slot"), *carry
     )

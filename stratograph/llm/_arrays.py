@@ -24,7 +24,7 @@ ALNUM_WORDS = ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 97) & (_BYTES <= 1
 _R = 0x9E3779B97F4A7C15 | 1
 _RINV = pow(_R, -1, 2**64)
 #: Bytes of text handled at once; a longer word extends its block.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _tables: dict[str, np.ndarray] = {}
 
 

@@ -31,7 +31,7 @@ from . import _arrays as A
 from ._spark import read_table, small_batches
 
 SIZE = 13
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_WORDS = 200_000
 
 MATCH = T.StructType(
@@ -82,17 +82,18 @@ class Needles:
         self.item, self.place = np.array(item, dtype=np.int64)[order], np.array(place, dtype=np.int64)[order]
         self.owner_start = np.searchsorted(which[order], np.arange(len(self.windows) + 1))
         high = np.where(np.arange(size)[None, :] < self.lengths[:, None], self.windows, (1 << self.bits) - 1)
-        self.low_keys, self.high_keys = self.packed(self.windows.T), self.packed(high.T)
+        self.low_keys = self.packed(lambda k: self.windows[:, k], len(high))
+        self.high_keys = self.packed(lambda k: high[:, k], len(high))
 
-    def packed(self, columns: np.ndarray) -> list[np.ndarray]:
-        """``size`` columns of word numbers as few 64-bit keys with the same order."""
+    def packed(self, column, count: int) -> list[np.ndarray]:
+        """``size`` columns of word numbers, asked for one by one, as few 64-bit keys with the same order."""
         keys = []
         for a in range(0, self.size, self.per):
-            key = np.zeros(columns.shape[1], dtype=np.uint64)
+            key = np.zeros(count, dtype=np.uint64)
             for q in range(self.per):
                 key <<= np.uint64(self.bits)
                 if a + q < self.size:
-                    key |= columns[a + q].astype(np.uint64)
+                    key |= column(a + q).astype(np.uint64)
             keys.append(key)
         return keys
 
@@ -123,13 +124,13 @@ def search(words: A.Words, needles: Needles) -> tuple[np.ndarray, np.ndarray]:
     number = np.where(needles.hashes[near] == words.hashes, near + 1, 0)
     # one 0 after every document, and enough at the end
     owners = words.owners()
-    line = np.zeros(len(number) + len(words.first) + needles.size, dtype=np.int64)
+    line = np.zeros(len(number) + len(words.first) + needles.size, dtype=np.uint32)
     line[np.arange(len(number)) + owners] = number
     suffixes = np.flatnonzero(number)
     at = suffixes + owners[suffixes]
-    keys = needles.packed(np.stack([line[at + k] for k in range(needles.size)])) if len(at) else []
     if not len(at):
         return none, none
+    keys = needles.packed(lambda k: line[at + k], len(at))
     order = np.lexsort(keys[::-1])
     array, keys = suffixes[order], [k[order] for k in keys]
     low, high = bound(keys, needles.low_keys, False), bound(keys, needles.high_keys, True)

@@ -32,7 +32,7 @@ MAX_FEATURES = 2_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.0005, 0.1
 SCALE = 8.0
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 
 _B = np.arange(256)
 #: Classes of bytes in a shape: a, A, digit, high; the rest stand for themselves.

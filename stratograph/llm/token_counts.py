@@ -28,7 +28,7 @@ from . import _bpe
 from ._spark import read_table, scratch_path, small_batches, written
 
 LIMIT = 512
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 CACHE = "content binary, tokenizer binary, n_tokens long"
 
 
@@ -43,13 +43,13 @@ def _counter(path: str):
             import sentencepiece
 
             library = sentencepiece.SentencePieceProcessor(model_file=path)
-            count = lambda texts: np.array([len(x) for x in library.encode(texts, num_threads=1)], dtype=np.int64)
+            count = lambda column: np.array([len(x) for x in library.encode([t or "" for t in column.to_pylist()], num_threads=1)], dtype=np.int64)
         else:
             encoder = _bpe.encoder(path)
-            count = lambda texts: np.diff(encoder.encode(texts)[1]).astype(np.int64)
+            count = lambda column: np.diff(encoder.encode_column(column)[1]).astype(np.int64)
         for group in A.grouped(batches, "text", GROUP_BYTES):
             yield pa.RecordBatch.from_arrays(
-                [group.column("content").combine_chunks(), pa.array(count(group.column("text").to_pylist()))], names=["content", "n_tokens"]
+                [group.column("content").combine_chunks(), pa.array(count(group.column("text").combine_chunks()))], names=["content", "n_tokens"]
             )
 
     return run

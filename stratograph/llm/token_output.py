@@ -38,7 +38,7 @@ from ._spark import read_table, scratch_path, small_batches, written
 END_ID = 2
 FILE_IDS = 1 << 20
 BLOCK_IDS = 4096
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 MAGIC = b"TPK1"
 FILES = "part int, seq int, n_ids long, doc_ids array<long>, payload binary"
 
@@ -121,8 +121,7 @@ def _writer(path: str, end_id: int, file_ids: int):
             )
 
         for group in A.grouped(batches, "text", GROUP_BYTES):
-            texts = [t or "" for t in group.column("text").to_pylist()]
-            flat, offsets = encoder.encode(texts)
+            flat, offsets = encoder.encode_column(group.column("text").combine_chunks())
             for k, doc in enumerate(group.column("doc_id").to_pylist()):
                 own = flat[offsets[k] : offsets[k + 1]]
                 ids += [own, np.array([end_id], np.uint32)]

@@ -7,8 +7,8 @@ and prefix sums inside that one range find the document where the budget ends.
 is shuffled, and a source with a third of all rows is only ever summed by range.
 
 Defined results: null texts have size 0 and are taken with 0 words; a null source is a source of its own, last in
-order; equal keys are ordered by doc_id, and repeated rows of one doc_id at the cut are treated alike (each gives the
-cut document's words); sources without words have target 0; an empty table gives an empty result; further columns
+order; equal keys are ordered by doc_id and size, and equal rows at the cut give equal shares of the words left, rounded
+down; sources without words have target 0; an empty table gives an empty result; further columns
 pass through.
 """
 
@@ -65,7 +65,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE,
 
 
 def mixing_plan(rows: DataFrame, **how) -> DataFrame:
-    """One row per source: source_size, target, epochs, cut_key, cut_id, cut_words.  ``rows``: source, doc_id, key, size."""
+    """One row per source: source_size, target, epochs, cut_key, cut_id, cut_size, cut_words.  ``rows``: source, doc_id, key, size."""
     ranges = rows.groupBy("source", F.substring("key", 1, RANGE_DIGITS).alias("part")).agg(F.sum("size").alias("part_size"))
     ranges = written(ranges.coalesce(8), "ranges")
     goal = targets(ranges.groupBy("source").agg(F.sum("part_size").alias("source_size")), **how)
@@ -83,14 +83,18 @@ def mixing_plan(rows: DataFrame, **how) -> DataFrame:
         .where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("part_size") <= F.col("rest")))
         .select(F.col("source").alias("of"), F.col("part").alias("cut_part"), (F.col("upto") - F.col("part_size")).alias("before"), "rest")
     )
-    # only the documents of the range that holds the cut are sorted
-    inside = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # only the documents of the range that holds the cut are sorted, equal rows as one
+    place = ["key", "doc_id", "size"]
+    inside = Window.partitionBy("source").orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = F.col("rest") - F.col("upto") + F.col("size") * F.col("m")
     end = (
         rows.join(few(cut, MAX_BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("of")) & (F.substring("key", 1, RANGE_DIGITS) == F.col("cut_part")))
-        .withColumn("upto", F.col("before") + F.sum("size").over(inside))
+        .groupBy("source", "before", "rest", *place)
+        .agg(F.count("*").alias("m"))
+        .withColumn("upto", F.col("before") + F.sum(F.col("size") * F.col("m")).over(inside))
         .where(F.col("upto") > F.col("rest"))
         .groupBy("source")
-        .agg(F.min(F.struct("key", "doc_id", (F.col("rest") - F.col("upto") + F.col("size")).alias("words"))).alias("at"))
+        .agg(F.min(F.struct(*place, F.floor(left / F.col("m")).alias("words"))).alias("at"))
         .select(F.col("source").alias("of"), "at")
     )
     return goal.join(end, F.col("source").eqNullSafe(F.col("of")), "left").select(
@@ -100,6 +104,7 @@ def mixing_plan(rows: DataFrame, **how) -> DataFrame:
         "epochs",
         F.col("at.key").alias("cut_key"),
         F.col("at.doc_id").alias("cut_id"),
+        F.col("at.size").alias("cut_size"),
         F.col("at.words").alias("cut_words"),
     )
 
@@ -123,7 +128,8 @@ def mix(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
 def apply_plan(sized: DataFrame, plan: DataFrame) -> DataFrame:
     plan = few(plan, MAX_BROADCAST_SOURCES)
     plan = plan.select(F.col("source").alias("__of"), *[F.col(c).alias(f"__{c}") for c in plan.columns if c != "source"])
-    here, there = F.struct("key", "doc_id"), F.struct(F.col("__cut_key").alias("key"), F.col("__cut_id").alias("doc_id"))
+    here = F.struct("key", "doc_id", "size")
+    there = F.struct(F.col("__cut_key").alias("key"), F.col("__cut_id").alias("doc_id"), F.col("__cut_size").alias("size"))
     last = (
         F.when(F.col("__cut_key").isNull(), F.lit(0))
         .when(here < there, F.col("size"))

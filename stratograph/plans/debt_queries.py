@@ -523,9 +523,9 @@ def upsert(spark, d):
 # ---- evaluation
 
 
-@query("quantile7", """select l_returnflag, quantile_cont(l_extendedprice, 0.1) as p10, quantile_cont(l_extendedprice, 0.5) as p50, quantile_cont(l_extendedprice, 0.9) as p90 from lineitem group by 1""")
+@query("quantile7", """select l_returnflag, round_even(quantile_cont(l_extendedprice, 0.1), 4) as p10, round_even(quantile_cont(l_extendedprice, 0.5), 4) as p50, round_even(quantile_cont(l_extendedprice, 0.9), 4) as p90 from lineitem group by 1""")
 def quantile7(spark, d):
-    return E.quantile7(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.1, 0.5, 0.9])
+    return rounded(E.quantile7(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.1, 0.5, 0.9]), "p10", "p50", "p90", digits=4)
 
 
 @query("nearest_rank", """select l_returnflag, l_extendedprice as value from (select l_returnflag, l_extendedprice, row_number() over (partition by l_returnflag order by l_extendedprice) as rn,
@@ -540,11 +540,11 @@ def counter_mode(spark, d):
     return E.first_mode(table(spark, d, "events"), ["user_id"], "event_type", "event_id")
 
 
-@query("band_percentiles", """select case when p_size < 10 then 'small' when p_size < 30 then 'medium' else 'large' end as band, quantile_cont(p_retailprice, 0.1) as p10,
-  quantile_cont(p_retailprice, 0.5) as p50, quantile_cont(p_retailprice, 0.9) as p90 from part group by 1""")
+@query("band_percentiles", """select case when p_size < 10 then 'small' when p_size < 30 then 'medium' else 'large' end as band, round_even(quantile_cont(p_retailprice, 0.1), 4) as p10,
+  round_even(quantile_cont(p_retailprice, 0.5), 4) as p50, round_even(quantile_cont(p_retailprice, 0.9), 4) as p90 from part group by 1""")
 def band_percentiles(spark, d):
     band = F.when(F.col("p_size") < 10, "small").when(F.col("p_size") < 30, "medium").otherwise("large")
-    return E.quantile7(table(spark, d, "part").withColumn("band", band), ["band"], "p_retailprice", [0.1, 0.5, 0.9])
+    return rounded(E.quantile7(table(spark, d, "part").withColumn("band", band), ["band"], "p_retailprice", [0.1, 0.5, 0.9]), "p10", "p50", "p90", digits=4)
 
 
 @query("pearson_spearman", """with r as (select l_returnflag, l_quantity as x, l_extendedprice as y,

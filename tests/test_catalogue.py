@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from stratograph.plans import catalogue
@@ -16,7 +17,7 @@ def rows(frame):
     def plain(v):
         if hasattr(v, "tolist"):
             v = v.tolist()
-        if v is None or v != v:
+        if not isinstance(v, list) and pd.isna(v):
             return None
         return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 

@@ -8,7 +8,7 @@ from ..operators import blend as B
 from ..operators import graph as G
 from ..operators import lookup as L
 from ..operators import signals as S
-from ..sources.tables import table
+from ..sources.tables import checkpointed, table
 from . import base
 from .base import query, with_
 
@@ -37,7 +37,7 @@ def doc_terms(spark, d):
     words = table(spark, d, "documents").select(
         F.col("doc_id").alias("id"), "source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), 1)).alias("term")
     )
-    return words.groupBy("id", "source", "term").agg(F.count("*").alias("tf"))
+    return checkpointed(words.groupBy("id", "source", "term").agg(F.count("*").alias("tf")))
 
 
 TERMS = """with t as (
@@ -102,10 +102,11 @@ cand as (select a, b, round_even(static_s, 4) as static_s, round_even(cochange_s
 
 @query("candidate_edges", CANDIDATES + " select * from cand")
 def candidates(spark, d):
-    co = S.cochange_pairs(base.commit_files(spark, d))
-    static = base.undirected(spark, d).where("weight >= 10")
+    co = checkpointed(S.cochange_pairs(base.commit_files(spark, d)))
+    static = checkpointed(base.undirected(spark, d).where("weight >= 10"))
     none = static.where("false").select("a", "b", F.col("weight").alias("cosine"))
-    return S.assemble(S.candidate_pairs(co, static), base.sup(spark, d), static, co, none)
+    # masses, blend and floor all read the candidates: they are made once
+    return checkpointed(S.assemble(S.candidate_pairs(co, static), base.sup(spark, d), static, co, none))
 
 
 MASSES = CANDIDATES + """,

@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> np.nd
     table = got.toArrow().combine_chunks()
     places, weights = (table.column(c).combine_chunks() for c in ("places", "weights"))
     ends = places.offsets.to_numpy().astype(np.int64)
-    places, weights = places.values.to_numpy().astype(np.int64), weights.values.to_numpy().astype(np.float64)
+    places, weights = places.values.to_numpy(), weights.values.to_numpy()
     examples = [
         (rank, label, places[a:b], weights[a:b])
         for rank, label, a, b in zip(table.column("rank").to_pylist(), table.column("label").to_pylist(), ends[:-1].tolist(), ends[1:].tolist())

@@ -78,7 +78,7 @@ def import_mass(spark, d):
 
 
 @query("narrowed_imports", """with dc as (select distinct p_brand as package, p_partkey as file, p_name as name from part where p_partkey % 5 = 0),
-sl as (select distinct l_suppkey as src, p_brand as package, p_name as name from lineitem join part on p_partkey = l_partkey where l_suppkey <= 40 and l_linenumber = 1),
+sl as (select distinct l_suppkey as src, p_brand as package, p_name as name from lineitem join part on p_partkey = l_partkey),
 ow as (select package, name, count(distinct file) as owners, min(file) as file from dc group by all),
 mt as (select sl.*, ow.file, coalesce(owners = 1, false) as sure from sl left join ow using (package, name)),
 vd as (select src, package, bool_and(sure) as sure from mt group by all)
@@ -87,7 +87,7 @@ union all select distinct vd.src, vd.package, dc.file from vd join dc using (pac
 def narrowed_imports(spark, d):
     p = table(spark, d, "part")
     declared = p.where("p_partkey % 5 = 0").select(F.col("p_brand").alias("package"), F.col("p_partkey").alias("file"), F.col("p_name").alias("name"))
-    li = table(spark, d, "lineitem").where("l_suppkey <= 40 and l_linenumber = 1")
+    li = table(spark, d, "lineitem")
     selected = li.join(p, F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_suppkey").alias("src"), F.col("p_brand").alias("package"), F.col("p_name").alias("name")).distinct()
     return R.narrowed_packages(selected, declared)
 
@@ -134,9 +134,7 @@ def footprint_fit(spark, d):
     return P.area_fit(f).select((F.rint(F.col("r") * 1e6) / 1e6).alias("r"))
 
 
-@query("hit_test", """with p as (select l_orderkey * 10 + l_linenumber as point, avg(l_tax) as x, avg(l_discount) as y from lineitem group by 1),
-b as (select s_suppkey as box, (s_suppkey % 10) / 100.0::double as x0, (s_suppkey // 10) / 100.0::double as y0, (s_suppkey % 10) / 100.0::double + 0.015::double as x1, (s_suppkey // 10) / 100.0::double + 0.015::double as y1 from supplier)
-select point, box from p join b on x >= x0 and x < x1 and y >= y0 and y < y1""")
+@query("hit_test")
 def hit_test(spark, d):
     pts = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point")).agg(F.avg("l_tax").alias("x"), F.avg("l_discount").alias("y"))
     s = table(spark, d, "supplier")

@@ -11,6 +11,7 @@ operators that report single matches compare the bytes again.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,6 +140,14 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return mixed(h)
 
 
+def give_back() -> None:
+    """Free memory goes back to the system: a worker that waits for its next task should hold little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def grouped(batches, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.Table]:
     """The rows of Arrow batches in groups with at most ``most_bytes`` in ``column``; a longer text is alone."""
     held, size = [], 0
@@ -154,6 +163,8 @@ def grouped(batches, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.Tabl
             size += n
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held = None
+    give_back()
 
 
 def lists(values: pa.Array, counts: np.ndarray) -> pa.Array:

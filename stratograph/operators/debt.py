@@ -221,3 +221,16 @@ def to_lens(findings: DataFrame, most_paths: int = 20) -> DataFrame:
     stops = linked.select(F.lit("path").alias("section"), name.alias("label"), F.posexplode(F.array("path", "other")).alias("pos", "spec"))
     notes = findings.where("detail is not null").select(F.lit("note").alias("section"), F.col("detail").alias("label"), F.col("rank").alias("pos"), F.col("path").alias("spec"))
     return areas.unionByName(stops).unionByName(notes)
+
+
+def package_projection(files: DataFrame, arcs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(src, dst, n, crosses): arcs between packages, the longest root (root) above each end, and whether the package
+    graph has a cycle."""
+    from .graph import strong_components
+    from .resolve import longest_prefix
+
+    placed = longest_prefix(files.select("file_id", "path"), "path", roots, "root").select("file_id", "root")
+    at = lambda end: placed.select(F.col("file_id").alias(end), F.col("root").alias(f"r_{end}"))
+    between = arcs.join(at("src"), "src").join(at("dst"), "dst").where("r_src <> r_dst").groupBy(F.col("r_src").alias("src"), F.col("r_dst").alias("dst")).agg(F.count("*").alias("n"))
+    cyclic = strong_components(between).agg((F.count("*") > 0).alias("crosses"))
+    return between.crossJoin(F.broadcast(cyclic))

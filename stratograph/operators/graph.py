@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_even
+from ..sources.tables import importable
 from .blend import ends
 
 RESOLUTION = 1.1
@@ -225,6 +226,7 @@ def betweenness(edges: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Dat
     nodes = sorted(near)
     sources = sampled_sources(nodes, sample, seed)
     spark = edges.sparkSession
+    importable(spark)
     shared = spark.sparkContext.broadcast(near)
     kind = edges.schema["a"].dataType.simpleString()
 

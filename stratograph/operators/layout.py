@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import importable
+
 GRID, INSIDE, CONTOUR_POINTS, CONTOUR_SHARE = 420, 0.95, 12, 0.12
 
 
@@ -82,6 +84,7 @@ def squarified(values: list[float], rect: tuple) -> list[tuple]:
 def treemaps(files: DataFrame, centres: DataFrame) -> DataFrame:
     """(file_id, district, x, y, w, h): a district's square, of side sqrt(share of lines) * 0.62 around its centre, cut
     by lines of code.  One task for each district.  Files: file_id, path, district, loc; centres: district, x, y."""
+    importable(files.sparkSession)
     total = files.agg(F.sum("loc").cast("double").alias("all"))
     shares = files.groupBy("district").agg(F.sum("loc").alias("own")).crossJoin(F.broadcast(total))
     squares = shares.join(centres, "district").select("district", "x", "y", (F.sqrt(F.col("own") / F.col("all")) * 0.62).alias("side"))

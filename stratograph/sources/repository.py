@@ -10,6 +10,8 @@ import tomllib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import importable
+
 # Fixed values.
 PYTHON_SKIP = ["__pycache__", ".git", "tests", "test", "templates", "vendor", "third_party", "migrations", "testdata", "node_modules"]
 OTHER_SKIP = [
@@ -235,6 +237,8 @@ def manifests(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(provided, declared, unreadable) of manifest files (path, content), read on the executors."""
     import pandas as pd
 
+    importable(files.sparkSession)
+
     def read(frames):
         for frame in frames:
             rows = []

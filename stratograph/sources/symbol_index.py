@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from .tables import importable
+
 OCCURRENCES = "path string, symbol string, line int, definition boolean"
 
 
@@ -86,6 +88,8 @@ def scan(spark: SparkSession, folder: str, glob: str = "*.scip") -> DataFrame:
     """Occurrences of all index files in a folder, read on the executors."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("content")
 
+    importable(spark)
+
     def run(frames):
         for frame in frames:
             for data in frame["content"]:

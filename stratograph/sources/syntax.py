@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import importable
+
 # Fixed values.
 IDENTIFIER_STOP = {
     "self", "cls", "args", "kwargs", "return", "None", "True", "False", "str", "int", "list", "dict", "set", "type", "object",
@@ -138,6 +140,8 @@ def other_file(path: str, text: str, language: str) -> dict:
 def parsed(files: DataFrame, language: str) -> DataFrame:
     """The facts of source files (path, content); Python files with a syntax error are left out whole."""
 
+    importable(files.sparkSession)
+
     def run(frames):
         for frame in frames:
             rows = []

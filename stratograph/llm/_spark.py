@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import importable
+
 #: ASCII white space as the contracts define it: space and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 #: A word: a run of anything else.
@@ -70,7 +72,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch holds, so that long texts do not add up in a Python worker."""
+    """Bound what one Arrow batch holds, so that long texts do not add up in a Python worker, and let workers find the
+    operators."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -372,8 +372,8 @@ def capitals(spark, d):
 
 @query("betweenness")
 def betweenness(spark, d):
-    thick = base.arcs(spark, d, 10).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.lit(1.0).alias("weight")).distinct()
-    return rounded(G.betweenness(thick), "betweenness")
+    linked = base.undirected(spark, d).select("a", "b", F.lit(1.0).alias("weight"))
+    return rounded(G.betweenness(linked), "betweenness")
 
 
 @query("feedback_cut")

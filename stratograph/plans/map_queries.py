@@ -35,7 +35,7 @@ def suggest_tour(spark, d):
 
 def _scored(spark, d):
     """Suppliers as files with lines, complexity, churn and fan-in."""
-    arcs = base.arcs(spark, d, 10)
+    arcs = base.arcs(spark, d)
     fan = arcs.groupBy(F.col("dst").alias("file_id")).agg(F.count("*").cast("double").alias("fanin"))
     churn = base.commit_files(spark, d).groupBy(F.col("f").alias("file_id")).agg(F.count("*").alias("churn"))
     files = base.sup(spark, d).join(fan, "file_id", "left").join(churn, "file_id", "left")

@@ -110,9 +110,8 @@ def warm_start(spark, d):
 
 @query("leiden_partition")
 def leiden_partition(spark, d):
-    thick = base.arcs(spark, d, 10).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("n").cast("double").alias("weight"))
     nodes = base.sup(spark, d).select(F.lit("r").alias("repo"), "file_id")
-    return T.partition(thick.withColumn("repo", F.lit("r")), nodes)
+    return T.partition(base.undirected(spark, d).withColumn("repo", F.lit("r")), nodes)
 
 
 @query("neighbourhoods")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections import deque
 
@@ -92,16 +93,17 @@ def mutual_pairs(bundles: DataFrame) -> DataFrame:
     return both.select(F.col("src").alias("a"), F.col("dst").alias("b"), lighter.alias("lighter_src"), F.col("n").alias("n_ab"), "n_ba")
 
 
-def bfs_tree(arcs: DataFrame, start, goal=None, max_depth: int = 64) -> DataFrame:
+def bfs_tree(arcs: DataFrame, start, goal=None, max_depth: int | None = None) -> DataFrame:
     """(node, depth, parent): breadth-first arrivals.  ``arcs``: src, dst, pos; of several arrivals at one depth, the
-    first in the order of the frontier and then of ``pos`` counts.  Each round joins the frontier only."""
+    first in the order of the frontier and then of ``pos`` counts.  Each round joins the frontier only, until it is empty
+    or, where the caller asks for that, at ``max_depth``."""
     from ..sources.tables import checkpointed
 
     spark = arcs.sparkSession
     kind = arcs.schema["src"].dataType.simpleString()
     seen = spark.createDataFrame([(start, 0, None, 0)], f"node {kind}, depth int, parent {kind}, place long")
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.select(F.col("node").alias("src"), "place").join(arcs, "src")
         first = Window.partitionBy("dst").orderBy("place", "pos")
         fresh = step.withColumn("rn", F.row_number().over(first)).where("rn = 1").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
@@ -113,12 +115,14 @@ def bfs_tree(arcs: DataFrame, start, goal=None, max_depth: int = 64) -> DataFram
         if not frontier.limit(1).count():
             break
         seen = seen.unionByName(frontier)
+        if depth % 16 == 0:  # else the plan grows with the depth
+            seen = checkpointed(seen)
         if goal is not None and frontier.where(F.col("node") == F.lit(goal)).limit(1).count():
             break
     return seen.select("node", "depth", "parent")
 
 
-def route(arcs: DataFrame, start, goal, max_depth: int = 64) -> DataFrame:
+def route(arcs: DataFrame, start, goal, max_depth: int | None = None) -> DataFrame:
     """(step, node, kind): a shortest path along arcs (imports), else against them (imported-by), else in any direction
     (undirected); no rows without one."""
     spark = arcs.sparkSession

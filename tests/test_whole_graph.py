@@ -1,5 +1,6 @@
 """Queries without SQL work on every arc, and routes on every hop."""
 
+from stratograph.operators import graph
 from stratograph.plans import base, catalogue
 
 
@@ -19,3 +20,9 @@ def test_communities_and_routes_need_no_thick_arcs(spark):
     per = catalogue.QUERIES["leiden_partition"](spark, d).groupBy("community").count().collect()
     assert 1 < len(per) < 1000
     assert catalogue.QUERIES["suggest_entry_routes"](spark, d).count() > 0
+
+
+def test_long_routes_are_found(spark):
+    chain = spark.createDataFrame([(i, i + 1, 0) for i in range(70)], "src long, dst long, pos long").coalesce(1)
+    tree = {r["node"]: r["depth"] for r in graph.bfs_tree(chain, 0).collect()}
+    assert tree == {i: i for i in range(71)}

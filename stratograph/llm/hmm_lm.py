@@ -1,27 +1,26 @@
 """Hidden Markov language model over whole texts.
 
-Tokens are lower-cased words, then one end for each text.  A token's *symbol* is its own for the most frequent words
-and the end, and a hash bucket for the others.  The model is
+Tokens are lower-cased words, then one end for each text.  Every word of the training texts has emission probabilities
+of its own in every state,
 
-    P(text) = P_HMM(symbols of the text) * product of P(word | symbol)
+    P(word | state) = (g + 1/K) / (G + (V + 1)/K)
 
-with P(word | symbol) = (c + 1) / (N_s + V_s + 1), where c counts the word and N_s, V_s the symbol's training tokens and
-distinct words (the 1 more is for all unknown words of the symbol together).
+with g the word's expected count in the state, G all words' together, V the distinct training words and K the states; the
+1 more is for all unknown words together.  States that do not differ give the unigram base.
 
 Training (Baum-Welch): the texts are cut into segments of ``SEGMENT`` tokens; in each round every task runs the scaled
-forward-backward recursion over all its segments side by side and sums expected counts; Spark adds these over tasks, one
-row for each state and symbol, and the driver sees the sums only.  Every training token counts in every round.
+forward-backward recursion over the segments of a block side by side and sums expected counts; Spark adds these by word
+in a table that grows with the vocabulary.  The expected counts of the ``HEAD`` most frequent words are broadcast (a fixed
+size), the others join the blocks they stand in, once a block.  Every training token counts in every round, and rounds go
+on until the log likelihood gains less than ``TOLERANCE`` of itself.
 
-Scoring: the scaled forward recursion is a product of matrices, so it runs over all segments of a task at once, each
+Scoring: the scaled forward recursion is a product of matrices, so it runs over all segments of a block at once, each
 giving one K x K matrix and its scale, and then along each text's segments: the exact likelihood, for texts of any length.
 
-Counts of words: tasks count their own words, Spark adds them up.  The ``HEAD`` most frequent are broadcast (a fixed
-size); the others meet their counts in a shuffle join, each text sending its distinct rare words once.
-
-The unigram base beside it: sum of log10((c + 1) / (N + V + 1)).
+The unigram base beside it: sum of log10((c + 1) / (N + V + 1)), where c is the sum of a word's expected counts.
 
 Defined results: null and empty texts are the end alone; a null doc_id hashes as no text does, and is training; without
-training texts N = V = 0 and the model is uniform; repeated rows count as often as they stand there; further columns are
+training texts N = V = 0 and every word is unknown; repeated rows count as often as they stand there; further columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -29,21 +28,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _arrays as A
-from ._spark import read_table, small_batches, written
+from ._spark import forget, read_table, small_batches, written
 
 STATES = 4
-OWN_SYMBOLS = 1024
-BUCKETS = 512
-SYMBOLS = OWN_SYMBOLS + BUCKETS
+#: Columns of an emission table made in memory; those of a block have a column for each of its words.
+SYMBOLS = 1536
 HEAD = 65_536
-ROUNDS = 3
+TOLERANCE = 1e-4
 SEGMENT = 128
 SEED = 7
 GROUP_BYTES = 2 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 END = A.U(0x9AE16A3B2F90404F)
 
 
@@ -72,47 +73,23 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-class Vocabulary:
-    """The head words' counts, and what every symbol has.  ``head``: sorted hashes, ``counts`` beside them."""
+def spread(h: np.ndarray, c: np.ndarray, states: int) -> np.ndarray:
+    """First expected counts (words x states): each word's count, dealt to the states at random by its hash."""
+    share = np.stack([A.mixed(h + A.U(SEED + 1 + s)) for s in range(states)], axis=1).astype(np.float64) / 2.0**64 * 1.6 + 0.2
+    return share / share.sum(1, keepdims=True) * c[:, None]
 
-    def __init__(self, head: np.ndarray, counts: np.ndarray):
-        order = np.argsort(head)
-        self.head, self.counts = head[order], counts[order].astype(np.int64)
-        own = np.argsort(-self.counts, kind="stable")[:OWN_SYMBOLS]
-        self.own = np.full(len(self.head), -1, dtype=np.int64)
-        self.own[own] = np.arange(len(own))
-        self.tokens = np.zeros(SYMBOLS)
-        self.words = np.zeros(SYMBOLS)
 
-    def place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place among the head words, whether it is one)."""
-        if not len(self.head):
-            return np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=bool)
-        at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
-        return at, self.head[at] == h
+def _first_counts(states: int):
+    def run(batches):
+        for b in batches:
+            g = spread(b.column("h").to_numpy().view(np.uint64), b.column("c").to_numpy(), states)
+            yield pa.RecordBatch.from_arrays([b.column("h"), *(pa.array(g[:, s]) for s in range(states))], names=["h", *columns(states)])
 
-    def symbols(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at, known = self.place(h)
-        own = np.where(known, self.own[at] if len(self.head) else -1, -1)
-        return np.where(own >= 0, own, OWN_SYMBOLS + (h % A.U(BUCKETS)).astype(np.int64)), at, known
+    return run
 
 
-def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
-    """The head of the counts (ties by hash) and each symbol's tokens and words."""
-    top = counts.orderBy(F.desc("c"), "h").limit(head).toArrow()
-    v = Vocabulary(top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy())
-    # buckets of the words without a symbol of their own; the driver gets one row for each bucket
-    own = v.head[v.own >= 0]
-    bucket = F.pmod(F.col("h"), F.lit(BUCKETS))  # two's complement: the same low bits as the unsigned hash
-    rows = counts.groupBy(bucket.alias("b")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    for r in rows:
-        v.tokens[OWN_SYMBOLS + r["b"]], v.words[OWN_SYMBOLS + r["b"]] = r["n"], r["v"]
-    mine = v.counts[v.own >= 0]
-    b = OWN_SYMBOLS + (own % A.U(BUCKETS)).astype(np.int64)
-    np.subtract.at(v.tokens, b, mine)
-    np.subtract.at(v.words, b, 1)
-    v.tokens[v.own[v.own >= 0]], v.words[v.own[v.own >= 0]] = mine, 1
-    return v
+def columns(states: int) -> list[str]:
+    return [f"g{s}" for s in range(states)]
 
 
 class Model:
@@ -122,13 +99,9 @@ class Model:
         self.start, self.step, self.emit = start, step, emit
 
     @classmethod
-    def first(cls, v: Vocabulary, states: int = STATES) -> Model:
-        """Symbols as frequent as in training, moved at random so that the states differ."""
-        rng = np.random.default_rng(SEED)
-        base = (v.tokens + 1.0) / (v.tokens + 1.0).sum()
-        emit = base * rng.uniform(0.2, 1.8, (states, SYMBOLS))
+    def first(cls, states: int = STATES) -> Model:
         step = np.full((states, states), 0.3 / max(1, states - 1)) + np.eye(states) * (0.7 - 0.3 / max(1, states - 1))
-        return cls(np.full(states, 1 / states), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+        return cls(np.full(states, 1 / states), step / step.sum(1, keepdims=True), np.zeros((states, 0)))
 
     @classmethod
     def of_counts(cls, start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> Model:
@@ -178,42 +151,123 @@ def expected_counts(symbols: np.ndarray, first: np.ndarray, m: Model) -> tuple[n
             beta = onward @ m.step.T
         else:
             starts += (alphas[0] * beta).sum(0)
-    emits = np.stack([np.bincount(symbols, weights=gammas[:, s], minlength=SYMBOLS) for s in range(k)])
+    emits = np.stack([np.bincount(symbols, weights=gammas[:, s], minlength=m.emit.shape[1]) for s in range(k)])
     return starts, steps, emits, log
 
 
-def _round(shared):
+def _blocks(shared):
+    """Texts as blocks of tokens: numbers of the block's words, the head's (``heads``: places in the head) before the
+    others' (``tail``: hashes).  Training and held-out texts are in blocks of their own."""
+
     def run(batches):
-        v, m = shared.value
-        k = len(m.start)
-        total = np.zeros((k, 1 + k + SYMBOLS))
-        some = False
+        head, task, made = shared.value, TaskContext.get().partitionId(), 0
         for part in A.grouped(batches, "text", GROUP_BYTES):
-            h, first = tokens_of(part.column("text"))
-            starts, steps, emits, _ = expected_counts(v.symbols(h)[0], first, m)
-            total += np.concatenate([starts[:, None], steps, emits], axis=1)
-            some = True
-        if some:
-            state, place = np.divmod(np.arange(total.size), total.shape[1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(state.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(total.ravel())], names=["state", "place", "n"]
-            )
+            for held in (False, True):
+                own = part.filter(pc.equal(part.column("held_out"), held)).combine_chunks()
+                if not own.num_rows:
+                    continue
+                h, first = tokens_of(own.column("text"))
+                words, place = np.unique(h, return_inverse=True)
+                at = np.searchsorted(head, words)
+                known = np.zeros(len(words), dtype=bool)
+                inside = at < len(head)
+                known[inside] = head[at[inside]] == words[inside]
+                number = np.empty(len(words), dtype=np.int32)
+                number[np.argsort(~known, kind="stable")] = np.arange(len(words), dtype=np.int32)
+                tail = words[~known]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([(task << 32) + made]),
+                        pa.array([held]),
+                        A.lists(own.column("doc_id").combine_chunks(), np.array([own.num_rows])),
+                        pa.array([np.diff(first).astype(np.int32).tobytes()]),
+                        pa.array([number[place].tobytes()]),
+                        pa.array([at[known].astype(np.int32).tobytes()]),
+                        A.lists(pa.array(tail.view(np.int64)), np.array([len(tail)])),
+                    ],
+                    names=["block", "held_out", "ids", "lengths", "tokens", "heads", "tail"],
+                )
+                made += 1
+
+    return run
+
+
+class Words:
+    """What every task knows: the model's chain, the head's expected counts, all words' together, N and V."""
+
+    def __init__(self, m: Model, head: np.ndarray, total: np.ndarray, tokens: int, words: int):
+        self.m, self.head, self.total, self.tokens, self.words = m, head, total, tokens, words
+
+
+def of_block(block: pa.Table, met: pa.Table, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, first token of each text, places of the head words, hashes of the others, expected counts of all)."""
+    raw = lambda name: np.frombuffer(block.column(name)[0].as_py(), dtype=np.int32)
+    heads, tail = raw("heads"), block.column("tail").combine_chunks().flatten().to_numpy().view(np.uint64)
+    k = len(w.total)
+    g = np.zeros((len(heads) + len(tail), k))  # words without a row were never seen in training
+    g[: len(heads)] = w.head[heads]
+    places = met.column("place").to_numpy()
+    for s, name in enumerate(columns(k)):
+        g[len(heads) + places, s] = met.column(name).to_numpy()
+    return raw("tokens"), np.concatenate([[0], np.cumsum(raw("lengths"), dtype=np.int64)]), heads, tail, g
+
+
+def with_emissions(w: Words, g: np.ndarray) -> Model:
+    k = len(w.total)
+    return Model(w.m.start, w.m.step, ((g + 1 / k) / (w.total + (w.words + 1) / k)).T)
+
+
+#: Kinds of sums: of a word by its hash, of the chain, of a word by its place in the head.
+TAIL_SUM, CHAIN_SUM, HEAD_SUM = 0, 1, 2
+
+
+def _round(shared):
+    def run(block, met):
+        w = shared.value
+        k = len(w.total)
+        tokens, first, heads, tail, g = of_block(block, met, w)
+        starts, steps, emits, log = expected_counts(tokens, first, with_emissions(w, g))
+        chain = np.vstack([starts, steps, emits.sum(1), np.full(k, log)])
+        kind = np.repeat(np.array([HEAD_SUM, TAIL_SUM, CHAIN_SUM], dtype=np.int32), [len(heads), len(tail), len(chain)])
+        key = np.concatenate([heads.astype(np.int64), tail.view(np.int64), np.arange(len(chain))])
+        sums = np.concatenate([emits.T, chain])
+        return pa.table([pa.array(kind), pa.array(key), *(pa.array(sums[:, s]) for s in range(k))], names=["kind", "h", *columns(k)])
 
     return run
 
 
-def baum_welch(training: DataFrame, v: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    m = Model.first(v, states)
-    context = training.sparkSession.sparkContext
-    for _ in range(rounds):
-        shared = context.broadcast((v, m))
-        sums = training.select("text").mapInArrow(_round(shared), "state int, place int, n double")
-        # fixed size: states * (1 + states + symbols) rows
-        table = sums.groupBy("state", "place").agg(F.sum("n").alias("n")).toArrow()
-        total = np.zeros((states, 1 + states + SYMBOLS))
-        total[table.column("state").to_numpy(), table.column("place").to_numpy()] = table.column("n").to_numpy()
-        m = Model.of_counts(total[:, 0], total[:, 1 : 1 + states], total[:, 1 + states :])
-    return m
+def meeting(blocks: DataFrame, words: DataFrame, f, schema: str) -> DataFrame:
+    """``f`` of every block and the rows of its tail words in ``words`` (h, g0, ...): a join by word, then by block."""
+    rare = blocks.select(F.col("block").alias("of"), F.posexplode("tail").alias("place", "h"))
+    met = rare.join(words, "h").drop("h")
+    return blocks.groupBy("block").cogroup(met.groupBy("of")).applyInArrow(f, schema)
+
+
+def baum_welch(blocks: DataFrame, words: DataFrame, w: Words, tolerance: float = TOLERANCE) -> tuple[DataFrame, Words]:
+    """The words' expected counts and what every task knows, once a round gains less than ``tolerance``."""
+    context = blocks.sparkSession.sparkContext
+    k = len(w.total)
+    before = -np.inf
+    while True:
+        shared = context.broadcast(w)
+        sums = meeting(blocks, words, _round(shared), "kind int, h long, " + ", ".join(f"{c} double" for c in columns(k)))
+        sums = written(sums.groupBy("kind", "h").agg(*(F.sum(c).alias(c) for c in columns(k))), "expected-counts")
+        # fixed size: the head's words and the chain
+        small = sums.where(F.col("kind") != TAIL_SUM).toArrow()
+        kind, key = small.column("kind").to_numpy(), small.column("h").to_numpy()
+        values = np.stack([small.column(c).to_numpy() for c in columns(k)], axis=1)
+        chain, head = np.zeros((k + 3, k)), np.zeros_like(w.head)
+        chain[key[kind == CHAIN_SUM]] = values[kind == CHAIN_SUM]
+        head[key[kind == HEAD_SUM]] = values[kind == HEAD_SUM]
+        m = Model.of_counts(chain[0], chain[1 : 1 + k], np.zeros((k, 1)))
+        w = Words(m, head, chain[k + 1], w.tokens, w.words)
+        log = chain[k + 2, 0]
+        forget(words)
+        words = sums.where(F.col("kind") == TAIL_SUM).select("h", *columns(k))
+        shared.destroy()
+        if log - before <= tolerance * abs(log):
+            return words, w
+        before = log
 
 
 def log_likelihoods(symbols: np.ndarray, first: np.ndarray, m: Model) -> np.ndarray:
@@ -259,73 +313,58 @@ def log_likelihoods(symbols: np.ndarray, first: np.ndarray, m: Model) -> np.ndar
 
 
 def _score(shared):
-    def run(batches):
-        v, m = shared.value
-        width = np.log10(v.tokens + v.words + 1.0)
-        log_head = np.log10(v.counts + 1.0)
-        for part in A.grouped(batches, "text", GROUP_BYTES):
-            h, first = tokens_of(part.column("text"))
-            symbols, at, known = v.symbols(h)
-            docs = len(first) - 1
-            who = np.repeat(np.arange(docs), np.diff(first))
-            fixed = log_likelihoods(symbols, first, m) - np.bincount(who, weights=width[symbols], minlength=docs)
-            found = np.bincount(who[known], weights=log_head[at[known]], minlength=docs)
-            # rare words: each text's own, with how often they stand in it
-            rare, owner = h[~known], who[~known]
-            order = np.lexsort((rare, owner))
-            rare, owner = rare[order], owner[order]
-            fresh = np.ones(len(rare), dtype=bool)
-            fresh[1:] = (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])
-            places = np.flatnonzero(fresh)
-            times = np.diff(np.append(places, len(rare))).astype(np.int32)
-            counts = np.bincount(owner[places], minlength=docs)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id").combine_chunks(),
-                    pa.array(np.diff(first)),
-                    pa.array(np.bincount(who[known], minlength=docs).astype(np.int64)),
-                    pa.array(found),
-                    pa.array(fixed),
-                    A.lists(pa.array(rare[places].view(np.int64)), counts),
-                    A.lists(pa.array(times), counts),
-                ],
-                names=["doc_id", "n_tokens", "n_head", "log_head", "fixed", "rare", "times"],
-            )
+    def run(block, met):
+        w = shared.value
+        tokens, first, _, _, g = of_block(block, met, w)
+        counts = np.rint(g.sum(1))  # a token's probabilities of the states add up to 1
+        ids = block.column("ids").combine_chunks().flatten()
+        who = np.repeat(np.arange(len(ids)), np.diff(first))
+        base = np.bincount(who, weights=np.log10((counts + 1.0) / (w.tokens + w.words + 1.0))[tokens], minlength=len(ids))
+        return pa.table(
+            {
+                "doc_id": ids,
+                "held_out": pa.array(np.full(len(ids), block.column("held_out")[0].as_py())),
+                "n_tokens": np.diff(first),
+                "n_known": np.bincount(who[counts[tokens] > 0], minlength=len(ids)),
+                "train_tokens": np.full(len(ids), w.tokens),
+                "base_score": base,
+                "score": log_likelihoods(tokens, first, with_emissions(w, g)),
+            }
+        )
 
     return run
 
 
-def language_model_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head: int = HEAD) -> DataFrame:
+def language_model_scores(docs: DataFrame, states: int = STATES, head: int = HEAD, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", "text")
-    training = docs.where(~held_out(F.col("doc_id")))
-    counts = written(word_counts(training), "word-counts")
+    docs = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    counts = written(word_counts(docs.where("not held_out")), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    words = vocabulary(counts, head)
-    model = baum_welch(training, words, states, rounds)
-    shared = spark.sparkContext.broadcast((words, model))
+    top = counts.orderBy(F.desc("c"), "h").limit(head).toArrow()
+    h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
+    c, h = c[np.argsort(h)], np.sort(h)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.mapInArrow(
-        _score(shared),
-        f"doc_id {kind}, n_tokens long, n_head long, log_head double, fixed double, rare array<long>, times array<int>",
-    )
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("h"), F.col("w.times").alias("k"))
-    met = tail.join(counts, "h").groupBy("row").agg(
-        F.sum(F.col("k") * F.log10(F.col("c") + F.lit(1.0))).alias("log_tail"), F.sum("k").cast("long").alias("n_tail")
+    blocks = written(
+        docs.mapInArrow(
+            _blocks(spark.sparkContext.broadcast(h)),
+            f"block long, held_out boolean, ids array<{kind}>, lengths binary, tokens binary, heads binary, tail array<long>",
+        ),
+        "token-blocks",
     )
-    out = rows.drop("rare", "times").join(met, "row", "left")
-    logs = F.col("log_head") + F.coalesce("log_tail", F.lit(0.0))
-    return out.select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
-        "n_tokens",
-        (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
-        (logs + F.col("fixed")).alias("score"),
+    words = written(counts.mapInArrow(_first_counts(states), "h long, " + ", ".join(f"{g} double" for g in columns(states))), "expected-counts")
+    total = np.array(words.agg(*(F.coalesce(F.sum(g), F.lit(0.0)) for g in columns(states))).first())
+    first = Words(Model.first(states), spread(h, c, states), total, n, v)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # a round's shuffle files go when it ends
+    try:
+        words, known = baum_welch(blocks.where("not held_out"), words, first, tolerance)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return meeting(
+        blocks, words, _score(spark.sparkContext.broadcast(known)),
+        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
 
 

@@ -191,6 +191,15 @@ def test_exact_likelihood_and_rising_fit():
     assert fits == sorted(fits)
 
 
+def test_words_beyond_the_head_have_states_too(spark):
+    """The head is sent another way, and nothing else: the scores do not depend on its size."""
+    rng = random.Random(2)
+    texts = [(i, " ".join(f"{'ab'[i % 2]}{rng.randrange(60)}" for _ in range(40))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    few, all_ = ({r["doc_id"]: r["score"] for r in hmm_lm.language_model_scores(docs, head=n).collect()} for n in (3, 1000))
+    assert few == pytest.approx(all_, rel=1e-6)
+
+
 def brute_components(texts):
     sets = {}
     for d, t in texts:

@@ -8,8 +8,8 @@ sparse dot product and the bias.
 
 Training reads a bounded sample of labelled rows (``MAX_TRAINING``, by smallest MD5 of the doc_id, so that it does not
 depend on the row order): features are made on the executors, and the per-coordinate updates, which are sequential, run
-in the driver over sparse rows of bounded size (``MAX_FEATURES`` features of a training text, evenly spread over it).
-Scoring covers every whole text.
+in the driver over sparse rows: the distinct places of a whole text with their counts, at most ``2**BITS``.  Scoring
+covers every whole text too.
 
 Defined results: null and empty texts have no features and score the bias's logistic; a null label or a label without a
 document trains nothing; without training rows every score is 0.5; a null doc_id is scored and never trains; repeated
@@ -28,7 +28,6 @@ from ._spark import read_table, small_batches
 
 BITS = 18
 MAX_TRAINING = 6_000
-MAX_FEATURES = 2_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.0005, 0.1
 SCALE = 8.0
@@ -80,8 +79,6 @@ def sparse_rows(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     for n in counts.tolist():
         own = places[at : at + n]
         at += n
-        if n > MAX_FEATURES:
-            own = own[np.linspace(0, n - 1, MAX_FEATURES).astype(np.int64)]
         p, c = np.unique(own, return_counts=True)
         rows.append((p, c / max(1, len(own)) * SCALE))
     return rows

@@ -200,6 +200,15 @@ def test_words_beyond_the_head_have_states_too(spark):
     assert few == pytest.approx(all_, rel=1e-6)
 
 
+def test_training_sees_whole_texts():
+    import pyarrow as pa
+
+    text = pa.array([" ".join(f"w{i}" for i in range(5_000))])
+    places, counts = quality_classifier.features(text)
+    (own, weights), = quality_classifier.sparse_rows(text)
+    assert own.tolist() == np.unique(places).tolist() and weights.sum() == pytest.approx(quality_classifier.SCALE)
+
+
 def brute_components(texts):
     sets = {}
     for d, t in texts:

@@ -48,7 +48,7 @@ def _scored(spark, d):
 @query("suggest_entry_routes")
 def suggest_entry_routes(spark, d):
     arcs, files = _scored(spark, d)
-    return S.entry_routes(arcs, files, files.where("file_id % 25 = 1"))
+    return S.entry_routes(arcs, files, files)
 
 
 @query("landmarks")

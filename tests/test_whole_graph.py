@@ -26,3 +26,9 @@ def test_long_routes_are_found(spark):
     chain = spark.createDataFrame([(i, i + 1, 0) for i in range(70)], "src long, dst long, pos long").coalesce(1)
     tree = {r["node"]: r["depth"] for r in graph.bfs_tree(chain, 0).collect()}
     assert tree == {i: i for i in range(71)}
+
+
+def test_every_file_with_imports_is_an_entry(spark):
+    sf = "/root/testdata/sf0.01"
+    starts = {r["src"] for r in base.arcs(spark, sf).select("src").distinct().collect()}
+    assert {r["entry"] for r in catalogue.QUERIES["suggest_entry_routes"](spark, sf).select("entry").distinct().collect()} == starts

@@ -158,7 +158,7 @@ def test_token_cache_encodes_misses_once(spark, odd):
 
 
 def test_language_model(spark, odd):
-    out = hmm_lm.language_model_scores(odd, head=4).collect()
+    out = hmm_lm.language_model_scores(odd, block_tokens=20, part_pairs=5).collect()
     tokens = [(d, re.findall(SPACE, lower(t)) + ["\0end"]) for d, t, *_ in awkward()]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     counts = Counter(w for d, ws in tokens if not held(d) for w in ws)
@@ -168,36 +168,74 @@ def test_language_model(spark, odd):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in out)
 
 
-def test_exact_likelihood_and_rising_fit():
+def brute_sums(symbols, first, emit, m):
+    """Forward-backward without scaling, text by text."""
+    k = len(m.start)
+    start, step, emits, logs = np.zeros(k), np.zeros((k, k)), np.zeros_like(emit), []
+    for x, z in zip(first, first[1:]):
+        own = symbols[x:z]
+        a, b = np.zeros((len(own), k)), np.ones((len(own), k))
+        a[0] = m.start * emit[own[0]]
+        for t in range(1, len(own)):
+            a[t] = (a[t - 1] @ m.step) * emit[own[t]]
+        for t in range(len(own) - 2, -1, -1):
+            b[t] = m.step @ (emit[own[t + 1]] * b[t + 1])
+        p = a[-1].sum()
+        logs.append(math.log10(p))
+        start += a[0] * b[0] / p
+        np.add.at(emits, own, a * b / p)
+        for t in range(1, len(own)):
+            step += np.outer(a[t - 1], emit[own[t]] * b[t]) * m.step / p
+    return start, step, emits, logs
+
+
+def test_recursions_cross_segments_exactly(monkeypatch):
+    monkeypatch.setattr(hmm_lm, "SEGMENT", 16)
     rng = np.random.default_rng(3)
-    m = hmm_lm.Model.of_counts(rng.random(4), rng.random((4, 4)), rng.random((4, hmm_lm.SYMBOLS)))
-    lengths = [1, 2, 127, 128, 129, 700]
+    m = hmm_lm.Model(rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4), 4), None, 40)
+    emit = rng.dirichlet(np.ones(40), 4).T
+    lengths = [1, 2, 15, 16, 17, 33, 70, 5, 64]
     first = np.concatenate([[0], np.cumsum(lengths)])
     symbols = rng.integers(0, 40, first[-1])
-    for k, got in enumerate(hmm_lm.log_likelihoods(symbols, first, m)):
-        a, total = m.start * m.emit[:, symbols[first[k]]], 0.0
-        for t in range(first[k], first[k + 1]):
-            if t > first[k]:
-                a = (a @ m.step) * m.emit[:, symbols[t]]
-            total += math.log10(a.sum())
-            a = a / a.sum()
-        assert got == pytest.approx(total, rel=1e-9)
-    fits = []
-    for _ in range(4):
-        s, t, e, log = hmm_lm.expected_counts(symbols, first, m)
-        fits.append(log)
-        assert e.sum() == pytest.approx(len(symbols))
-        m = hmm_lm.Model.of_counts(s, t, e)
-    assert fits == sorted(fits)
-
-
-def test_words_beyond_the_head_have_states_too(spark):
-    """The head is sent another way, and nothing else: the scores do not depend on its size."""
+    sums, emits = hmm_lm.Sums(4), np.zeros((40, 4))
+    hmm_lm.expected_counts(symbols, first, emit, m, sums, emits)
+    start, step, want, logs = brute_sums(symbols, first, emit, m)
+    assert sums.start == pytest.approx(start) and sums.step == pytest.approx(step) and emits == pytest.approx(want)
+    assert sums.log / math.log(10) == pytest.approx(sum(logs))
+    assert hmm_lm.log_likelihoods(symbols, first, emit, m) == pytest.approx(logs)
+
+
+def test_language_model_end_to_end(spark):
+    """The same start, rounds and scores by brute force over all texts at once."""
     rng = random.Random(2)
-    texts = [(i, " ".join(f"{'ab'[i % 2]}{rng.randrange(60)}" for _ in range(40))) for i in range(60)]
-    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
-    few, all_ = ({r["doc_id"]: r["score"] for r in hmm_lm.language_model_scores(docs, head=n).collect()} for n in (3, 1000))
-    assert few == pytest.approx(all_, rel=1e-6)
+    texts = [(i, " ".join(f"{'ab'[i % 2]}{rng.randrange(60)}" for _ in range(rng.randrange(1, 60)))) for i in range(60)] + [(60, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    h, first = hmm_lm.tokens_of(pa.array([t for _, t in texts], type=pa.string()))
+    held = np.array([zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in texts])
+    ranges = list(zip(first, first[1:]))
+    train = np.concatenate([h[a:z] for (a, z), x in zip(ranges, held) if not x])
+    own = np.concatenate([[0], np.cumsum([z - a for (a, z), x in zip(ranges, held) if not x])])
+    words, symbols, count = np.unique(train, return_inverse=True, return_counts=True)
+    # the sample holds all training texts, so the rounds go on from where its own end
+    g = hmm_lm.spread(words, count, hmm_lm.STATES)
+    m = hmm_lm.Model.first(hmm_lm.STATES, g.sum(0), len(words))
+    for _ in range(2):
+        before = -math.inf
+        while True:
+            start, step, emits, logs = brute_sums(symbols, own, m.emissions(g), m)
+            sums = hmm_lm.Sums(hmm_lm.STATES)
+            sums.start, sums.step, sums.total, g = start, step, emits.sum(0), emits
+            m = hmm_lm.Model.of_sums(sums, len(words))
+            if sum(logs) - before <= hmm_lm.TOLERANCE * abs(sum(logs)):
+                break
+            before = sum(logs)
+    place = np.searchsorted(words, h) % len(words)
+    emit = m.emissions(np.vstack([g, np.zeros(hmm_lm.STATES)]))
+    every = np.where(words[place] == h, place, len(words))
+    want = dict(zip([d for d, _ in texts], brute_sums(every, first, emit, m)[3]))
+    for block_tokens, part_pairs in ((1 << 20, 1 << 19), (200, 30)):
+        got = {r["doc_id"]: r["score"] for r in hmm_lm.language_model_scores(docs, block_tokens=block_tokens, part_pairs=part_pairs).collect()}
+        assert got == pytest.approx(want, rel=1e-3)
 
 
 def test_training_sees_whole_texts():

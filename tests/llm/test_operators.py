@@ -341,6 +341,46 @@ def test_longest_match_is_joined(spark):
     assert [(x["item_start"], x["start"], x["length"]) for x in m] == [(5, 2, 30)]
 
 
+def test_longest_matches_brute_force():
+    rng = random.Random(6)
+    for _ in range(40):
+        items = [(str(i), " ".join(rng.choices("abc", k=rng.randrange(1, 14)))) for i in range(4)]
+        texts = [" ".join(rng.choices("abcx", k=rng.randrange(30))) for _ in range(5)]
+        needles = decontamination.Needles(items, 4)
+        words = _arrays.Words(*_arrays.texts_of(pa.array(texts)), _arrays.ALNUM_WORDS)
+        for text, (own, matches) in zip(texts, decontamination.found_in(words, decontamination.numbered(words, needles), needles)):
+            w = text.split()
+            want, best = set(), {}
+            for k, (i, t) in enumerate(items):
+                t = t.split()
+                n = min(4, len(t))
+                if any(w[p : p + n] == t[q : q + n] for p in range(len(w) - n + 1) for q in range(len(t) - n + 1)):
+                    want.add(k)
+                for p in range(len(w)):
+                    for q in range(len(t)):
+                        n = 0
+                        while p + n < len(w) and q + n < len(t) and w[p + n] == t[q + n]:
+                            n += 1
+                        if n >= 4:
+                            best[p] = max(n, best.get(p, 0))
+            assert set(own) == want
+            assert [(s, n) for _, _, s, n in matches if n >= 4] == [(p, n) for p, n in sorted(best.items()) if best.get(p - 1, 0) <= n]
+            assert all(w[s : s + n] == items[i][1].split()[p : p + n] for i, p, s, n in matches)
+
+
+def test_repetitive_texts_stay_small():
+    import tracemalloc
+
+    text = " ".join(["same"] * 20_000)
+    words = _arrays.Words(*_arrays.texts_of(pa.array([text, text])), _arrays.ALNUM_WORDS)
+    tracemalloc.start()
+    needles = decontamination.Needles([("1", text), ("2", text)])
+    (own, matches), _ = decontamination.found_in(words, decontamination.numbered(words, needles), needles)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert own == [0, 1] and [(s, n) for _, _, s, n in matches] == [(0, 20_000)]
+
+
 def test_mixing_laws(spark, odd):
     out = mixing.mix(odd).collect()
     sizes, targets, taken = defaultdict(int), {}, defaultdict(int)

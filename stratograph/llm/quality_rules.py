@@ -3,13 +3,14 @@
 Lines are normalised (lower case, white space collapsed) and hashed; for every host the distinct documents that
 contain a line are counted, lines above the limit are removed, and a document that loses most of its words, or is
 left with almost none, is rejected.  Documents count as distinct by their whole text, so that exact copies of one
-page do not turn its own lines into boilerplate.
+page do not turn its own lines into boilerplate.  :func:`line_frequency_rules` gives the verdicts,
+:func:`cleaned_documents` the documents that pass, without the lines above the limit.
 
 Base rules run beside it: number of words and words inside repeated 5-word windows.
 
 Defined results: a null or empty text has no words and no lines (all counts 0, ``base_failed`` true);  a null host
-is a host of its own; rows that repeat a doc_id are judged one by one; further columns of the input are ignored;
-an empty table gives an empty result.
+is a host of its own; rows that repeat a doc_id are judged one by one; further columns of the input are ignored by the
+verdicts and kept by the cleaned documents; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import SPACE, WORD, let, written
+from ._spark import SPACE, WORD, join_counted, let, written
 
 #: Limits of the method.
 MIN_LIMIT_DOCS = 10
 LIMIT_SHARE = 0.02
 MAX_REMOVED_SHARE = 0.5
 MIN_WORDS_LEFT = 10
-#: Up to so many over-limit lines (hash and host: under 64 bytes each) are broadcast; beyond, the join shuffles.
+#: Up to so many over-limit lines (hash and host: under 64 bytes each) are broadcast; beyond, the join shuffles, with
+#: lines that many documents share salted.
 MAX_BROADCAST_LINES = 200_000
 #: Up to so many documents that lose lines are broadcast (row and words: 16 bytes each).
 MAX_BROADCAST_ROWS = 500_000
@@ -77,12 +79,12 @@ def window_hashes(words: Column) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), windows)
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """One row per document: the base counts, and ``lines``: hash and number of words of each line with a word.
+def base_counts(docs: DataFrame, *carry: str) -> DataFrame:
+    """One row per document: the base counts, ``lines`` (hash and number of words of each line with a word), ``carry``.
 
     The one-element explodes are barriers: without them the optimiser copies the split into each of its uses.
     """
-    rows = docs.select("doc_id", F.col("source").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.col("source").alias("host"), F.coalesce("text", F.lit("")).alias("text"), *carry)
     rows = rows.select("*", F.explode(F.array(words_of(F.col("text")))).alias("words"))
     rows = rows.select("*", F.explode(F.array(window_hashes(F.col("words")))).alias("windows"))
     with_word = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -97,24 +99,23 @@ def base_counts(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("raw_lines") - F.size(F.array_distinct("raw_lines"))).cast("long").alias("n_dup_lines"),
         repeated_window_words(F.col("windows")).alias("n_repeat_words"),
-        F.transform(
-            "raw_lines",
-            lambda x: let(
-                words_of(F.lower(x)),
-                lambda w: F.struct(F.xxhash64(F.array_join(w, " ")).alias("line"), F.size(w).alias("words")),
-            ),
-        ).alias("lines"),
+        F.transform("raw_lines", lambda x: let(words_of(F.lower(x)), lambda w: F.struct(line_hash(w).alias("line"), F.size(w).alias("words")))).alias("lines"),
+        *carry,
     )
 
 
+def line_hash(words: Column) -> Column:
+    return F.xxhash64(F.array_join(words, " "))
+
+
 def boilerplate_lines(base: DataFrame, min_docs: int = MIN_LIMIT_DOCS, share: float = LIMIT_SHARE) -> DataFrame:
-    """(host, line, line_docs) of lines in more distinct documents of their host than
-    ``max(min_docs, share * documents of the host)``."""
+    """(host, line, line_docs, line_rows) of lines in more distinct documents of their host than
+    ``max(min_docs, share * documents of the host)``; ``line_rows``: how often they stand there, copies included."""
     totals = base.groupBy("host").agg(F.count_distinct("text_hash").alias("host_docs"))
     counts = (
         base.select("host", "text_hash", F.explode("lines.line").alias("line"))
         .groupBy("host", "line")
-        .agg(F.count_distinct("text_hash").alias("line_docs"))
+        .agg(F.count_distinct("text_hash").alias("line_docs"), F.count("*").alias("line_rows"))
         .where(F.col("line_docs") > min_docs)
     )
     # few lines pass the first limit, so the totals meet a small table
@@ -122,8 +123,37 @@ def boilerplate_lines(base: DataFrame, min_docs: int = MIN_LIMIT_DOCS, share: fl
     return (
         counts.join(totals, F.col("host").eqNullSafe(F.col("of_host")))
         .where(F.col("line_docs") > F.lit(share) * F.col("host_docs"))
-        .select("host", "line", "line_docs")
+        .select("host", "line", "line_docs", "line_rows")
+    )
+
+
+def over_limit(base: DataFrame, min_docs: int, share: float, broadcast_lines: int) -> DataFrame:
+    """(row, line, words) of every line of ``base`` that is above its host's limit."""
+    host = [F.coalesce("host", F.lit("")).alias("host_key"), F.col("host").isNull().alias("no_host")]
+    over = written(boilerplate_lines(base, min_docs, share).select(*host, "line", "line_rows"), "over-limit")
+    lines = base.select("row", *host, F.explode("lines").alias("l")).select("row", "host_key", "no_host", "l.line", "l.words")
+    keys = ["host_key", "no_host", "line"]
+    if over.count() <= broadcast_lines:
+        found = lines.join(F.broadcast(over), keys)
+    else:
+        found = join_counted(lines, over, keys, "line_rows", over.agg(F.sum("line_rows")).first()[0])
+    return found.select("row", "line", "words")
+
+
+def with_removed(base: DataFrame, removed: DataFrame) -> DataFrame:
+    """``base`` with its rows of ``removed`` (by row, null where it has none)."""
+    removed = written(removed, "removed")
+    return base.join(F.broadcast(removed) if removed.count() <= MAX_BROADCAST_ROWS else removed, "row", "left")
+
+
+def verdict(max_removed: float, min_left: int) -> tuple[Column, Column, Column]:
+    """(removed words, base_failed, kept)."""
+    removed_words = F.coalesce("removed_words", F.lit(0)).cast("long")
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    depleted = (removed_words > max_removed * F.col("n_words")) | (
+        (removed_words > 0) & (F.col("n_words") - removed_words < min_left)
     )
+    return removed_words, failed, ~failed & ~depleted
 
 
 def line_frequency_rules(
@@ -132,6 +162,7 @@ def line_frequency_rules(
     share: float = LIMIT_SHARE,
     max_removed: float = MAX_REMOVED_SHARE,
     min_left: int = MIN_WORDS_LEFT,
+    broadcast_lines: int = MAX_BROADCAST_LINES,
 ) -> DataFrame:
     """Every document with its base counts, the words removed with over-limit lines, and the verdict.
 
@@ -139,36 +170,31 @@ def line_frequency_rules(
     or leave fewer than ``min_left``.
     """
     base = written(base_counts(docs), "line-hashes")
-    # a line is over the limit in min_docs documents at least, so these are few; eight tasks write them
-    over = written(boilerplate_lines(base, min_docs, share).coalesce(8), "over-limit")
-    found = F.broadcast(over) if over.count() <= MAX_BROADCAST_LINES else over
-    found = found.select(F.col("host").alias("of_host"), F.col("line").alias("of_line"))
-    removed = (
-        base.select("row", "host", F.explode("lines").alias("l"))
-        .select("row", "host", "l.line", "l.words")
-        .join(found, F.col("host").eqNullSafe(F.col("of_host")) & (F.col("line") == F.col("of_line")))
-        .groupBy("row")
-        .agg(F.sum("words").alias("removed_words"))
-    )
-    removed = written(removed, "removed")
-    few = removed.count() <= MAX_BROADCAST_ROWS
-    out = base.drop("lines").join(F.broadcast(removed) if few else removed, "row", "left")
-    removed_words = F.coalesce("removed_words", F.lit(0)).cast("long")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    depleted = (removed_words > max_removed * F.col("n_words")) | (
-        (removed_words > 0) & (F.col("n_words") - removed_words < min_left)
-    )
-    return out.select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        failed.alias("base_failed"),
-        (~failed & ~depleted).alias("kept"),
-        removed_words.alias("removed_words"),
-    )
+    lost = over_limit(base, min_docs, share, broadcast_lines).groupBy("row").agg(F.sum("words").alias("removed_words"))
+    removed_words, failed, kept = verdict(max_removed, min_left)
+    return with_removed(base.drop("lines"), lost).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), kept.alias("kept"), removed_words.alias("removed_words"),
+    )
+
+
+def cleaned_documents(
+    docs: DataFrame,
+    min_docs: int = MIN_LIMIT_DOCS,
+    share: float = LIMIT_SHARE,
+    max_removed: float = MAX_REMOVED_SHARE,
+    min_left: int = MIN_WORDS_LEFT,
+    broadcast_lines: int = MAX_BROADCAST_LINES,
+) -> DataFrame:
+    """The documents that are kept, their texts without the lines above the limit; all columns stay."""
+    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__all"))
+    base = written(base_counts(packed, "__all"), "line-hashes")
+    lost = over_limit(base, min_docs, share, broadcast_lines)
+    lost = lost.groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("drop"))
+    out = with_removed(base, lost).where(verdict(max_removed, min_left)[2])
+    left = F.filter(F.split(F.col("__all.text"), "\n"), lambda x: ~F.array_contains(F.col("drop"), line_hash(words_of(F.lower(x)))))
+    text = F.when(F.col("drop").isNull(), F.col("__all.text")).otherwise(F.array_join(left, "\n"))
+    return out.select(*[text.alias("text") if c == "text" else F.col("__all")[c].alias(c) for c in docs.columns])
 
 
 #: The same rows in DuckDB SQL.

@@ -4,8 +4,9 @@ Pages are grouped by host.  For every line the share of the host's pages that ho
 boilerplate ratio, on enough pages, are dropped from all pages of that host.
 
 A line above ratio r stands on more than r times the host's pages, so a host has fewer than (lines of an average page) /
-r such lines, however many pages it has: they fit one array for each host, and cleaning the pages is a map.  Counting
-sums partial counts of each task, so a host with a third of all pages is never in one task.
+r such lines, however many pages it has: they fit one array for each host, and while there are few of them in all, cleaning
+the pages is a map.  Beyond that the pages' lines join them, a line on many pages salted, and each page gets its own back
+by its number.  Counting sums partial counts of each task, so a host with a third of all pages is never in one task.
 
 Lines come from the HTML: scripts, styles and comments go, block ends break lines, other tags vanish, the common
 entities are read, white space is collapsed and blank lines are left out.
@@ -20,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import read_table, written
+from ._spark import join_counted, read_table, written
 
 MAX_RATIO = 0.3
 MIN_PAGES = 3
-#: Boilerplate lines (hash and host, under 100 bytes) that are broadcast at most; beyond, the join shuffles.
+#: Boilerplate lines (hash and host, under 100 bytes) that are broadcast at most; beyond, lines are joined by a shuffle.
 MAX_BROADCAST_LINES = 200_000
 
 # Fixed values: (pattern, replacement) in order.
@@ -71,14 +72,19 @@ def boilerplate(lined: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     return counts.join(totals, "host").where(F.col("pages") > max_ratio * F.col("host_pages")).select("host", "line", "pages")
 
 
-def without_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def without_boilerplate(
+    pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = MAX_BROADCAST_LINES
+) -> DataFrame:
     """page_id, host, n_lines, n_dropped and the text that is left of every page."""
     lined = pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(html_text(F.col("html"))).alias("lines"))
-    lined = written(lined, "page-lines")
-    found = written(boilerplate(lined, max_ratio, min_pages).coalesce(8), "boilerplate")
-    small = found.count() <= MAX_BROADCAST_LINES
-    per_host = found.groupBy("host").agg(F.collect_set("line").alias("drop"))
-    out = lined.join(F.broadcast(per_host) if small else per_host, "host", "left")
+    lined = written(lined.withColumn("row", F.monotonically_increasing_id()), "page-lines")
+    found = written(boilerplate(lined, max_ratio, min_pages), "boilerplate")
+    if found.count() <= broadcast_lines:
+        out = lined.join(F.broadcast(found.groupBy("host").agg(F.collect_set("line").alias("drop"))), "host", "left")
+    else:
+        own = lined.select("row", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line"))
+        hits = join_counted(own, found, ["host", "line"], "pages", found.agg(F.sum("pages")).first()[0])
+        out = lined.join(hits.groupBy("row").agg(F.collect_set("line").alias("drop")), "row", "left")
     drop = F.coalesce("drop", F.array().cast("array<bigint>"))
     out = out.select("page_id", "host", "lines", F.explode(F.array(drop)).alias("drop"))
     kept = F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), F.xxhash64(x)))

@@ -8,8 +8,8 @@ is shuffled, and a source with a third of all rows is only ever summed by range.
 
 Defined results: null texts have size 0 and are taken with 0 words; a null source is a source of its own, last in
 order; equal keys are ordered by doc_id and size, and equal rows at the cut give equal shares of the words left, rounded
-down; sources without words have target 0; an empty table gives an empty result; further columns
-pass through.
+down; sources without words have target 0; an empty table gives an empty result; further columns pass through
+:func:`mixed_documents`, and :func:`mix` unless they are named like one of its results, which replaces them.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import WORD, read_table, written
+from ._spark import WORD, ranked, read_table, written
 
 #: Weights by the source's place in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -45,12 +45,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE,
     Capped sources keep ``max_epochs`` times their size; the others share the rest by weight, until none is above.
     Only sums come to the driver.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    listed = written(
-        sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))),
-        "sources",
-        rows=1,
-    )
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    listed = written(ranked(sizes, F.col("source").asc_nulls_last(), name="ranked-sources").withColumn("weight", weight), "sources")
     cap = F.col("source_size") * max_epochs
     budget = (listed.agg(F.sum("source_size")).first()[0] or 0) * total_share
     rate = 0.0
@@ -67,13 +63,12 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE,
 def mixing_plan(rows: DataFrame, **how) -> DataFrame:
     """One row per source: source_size, target, epochs, cut_key, cut_id, cut_size, cut_words.  ``rows``: source, doc_id, key, size."""
     ranges = rows.groupBy("source", F.substring("key", 1, RANGE_DIGITS).alias("part")).agg(F.sum("size").alias("part_size"))
-    ranges = written(ranges.coalesce(8), "ranges")
+    ranges = written(ranges, "ranges")
     goal = targets(ranges.groupBy("source").agg(F.sum("part_size").alias("source_size")), **how)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = written(
         goal.withColumn("epochs", whole).withColumn("rest", F.rint(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")),
         "goals",
-        rows=1,
     )
     named = goal.withColumnRenamed("source", "of")
     up_to = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -111,7 +106,7 @@ def mixing_plan(rows: DataFrame, **how) -> DataFrame:
 
 def few(df: DataFrame, most: int) -> DataFrame:
     """``df`` for a broadcast, if it has at most ``most`` rows."""
-    df = written(df, "few", rows=1)
+    df = written(df, "few")
     return F.broadcast(df) if df.count() <= most else df
 
 
@@ -120,12 +115,22 @@ def mix(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
 
     ``taken`` = epochs * size, plus the whole document before the cut, or its first words at the cut.
     """
-    sized = docs.withColumn("size", text_size(F.col("text"))).withColumn("key", mix_key(F.col("doc_id"), seed))
+    packed = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", "text")
+    m = packed_mix(packed, seed, **how)
+    return m.select(*[F.col("__row")[c].alias(c) for c in docs.columns if c not in MIXED], *MIXED)
+
+
+MIXED = ["size", "source_size", "target", "taken", "epochs", "cut_taken"]
+
+
+def packed_mix(packed: DataFrame, seed: int, **how) -> DataFrame:
+    sized = packed.withColumn("size", text_size(F.col("text"))).withColumn("key", mix_key(F.col("doc_id"), seed))
     rows = written(sized.select("source", "doc_id", "key", "size"), "mix-rows")
     return apply_plan(sized, mixing_plan(rows, **how)).drop("key")
 
 
 def apply_plan(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """``sized`` (source, doc_id, key, size) with what the plan takes of each row."""
     plan = few(plan, MAX_BROADCAST_SOURCES)
     plan = plan.select(F.col("source").alias("__of"), *[F.col(c).alias(f"__{c}") for c in plan.columns if c != "source"])
     here = F.struct("key", "doc_id", "size")
@@ -152,7 +157,7 @@ def mixed_documents(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document stands there once for each epoch that takes it; the
     one at a source's cut stands there with the first words that the budget still takes (and its ``n_chars``)."""
     packed = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", "text")
-    m = mix(packed, seed, **how)
+    m = packed_mix(packed, seed, **how)
     copies = F.array_repeat(F.lit(-1), F.col("epochs").cast("int"))
     last = F.when(F.col("cut_taken") > 0, F.array(F.col("cut_taken").cast("int"))).otherwise(F.array().cast("array<int>"))
     m = m.withColumn("__copy", F.explode(F.concat(copies, last)))

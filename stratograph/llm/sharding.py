@@ -1,17 +1,19 @@
 """Balanced label propagation: documents into equal shards, linked documents together (DataFrame functions only).
 
 Documents with equal texts are linked.  Each group of copies is handled as *atoms*: the rows of one text that fall into
-one of 64 salts, so that no group, however large, meets in one task.  Labels (shards) start at random.  In each round an
-atom looks at where its group's rows are, and moves towards the shard with most of them if that cuts fewer links;
-moves are accepted per shard in order of gain, as far as the shard's quota of rows goes.  Rounds alternate between moves
-to lower and to higher shards, so that two atoms never swap for ever.
+one of the salts, 64 or as many as keep an atom of any group under ``ATOM_ROWS`` rows or so, so that no group, however
+large, meets in one task.  Labels (shards) start at random.  In each round an atom looks at where its group's rows are,
+and moves towards the shard with most of them if that cuts fewer links; moves are accepted per shard in order of gain, as
+far as the shard's quota of rows goes.  Rounds alternate between moves to lower and to higher shards, so that two atoms
+never swap for ever, and end when two in a row did not lower the number of cut links, which falls at all others.
 
 Documents without a link cost nothing wherever they stand: they fill every shard to its exact quota.  Law ``rows``: row
 counts of two shards differ by one at most.  Slots number a shard's rows from 0, by prefix sums over hash buckets.
 
 Defined results: a null text has size 1, CRC 0 and no links; an empty text is a text like any other; rows that repeat a
 doc_id are rows of their own (as their texts are equal, they are linked); an empty table gives an empty result; further
-columns are ignored by :func:`assign` and kept by :func:`sharded_documents`.
+columns are ignored by :func:`assign` and kept by :func:`sharded_documents`, whose shard and slot replace columns of
+these names.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import crc32_of, forget, read_table, written
+from ._spark import crc32_of, forget, join_counted, read_table, written
 
 SALTS = 64
-MAX_ROUNDS = 12
+ATOM_ROWS = 50_000
 #: Steps of the acceptance order inside one level of gain.
 STEPS = 64
 #: Rows that one bucket of the numbering holds on average.
@@ -30,7 +32,7 @@ BUCKET_ROWS = 2_000
 
 
 def digests(docs: DataFrame, *carry: str) -> DataFrame:
-    """doc_id, size, text_crc32, key (of the text; null without one), salt, and a row number that stays."""
+    """doc_id, size, text_crc32, key (of the text; null without one), and a row number."""
     text = F.col("text")
     return docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -39,7 +41,7 @@ def digests(docs: DataFrame, *carry: str) -> DataFrame:
         crc32_of(text).cast("long").alias("text_crc32"),
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"),
         *carry,
-    ).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    )
 
 
 def linked_atoms(rows: DataFrame, shards: int) -> DataFrame:
@@ -53,12 +55,21 @@ def quotas(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 
-def propagate(atoms: DataFrame, quota: list[int], max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Rounds of balanced label propagation over atoms; two quiet rounds end it.  The driver sees one row per shard."""
+def cut_links(atoms: DataFrame) -> int:
+    """Pairs of linked rows in different shards.  ``atoms``: key, shard, n."""
+    shares = atoms.groupBy("key", "shard").agg(F.sum("n").cast("decimal(38,0)").alias("w"))
+    whole = shares.groupBy("key").agg(F.sum("w").alias("rows"), F.sum(F.col("w") * F.col("w")).alias("squares"))
+    twice = whole.agg(F.sum(F.col("rows") * F.col("rows") - F.col("squares"))).first()[0]
+    return int(twice or 0) // 2
+
+
+def propagate(atoms: DataFrame, quota: list[int]) -> DataFrame:
+    """Rounds of balanced label propagation over atoms.  The driver sees one row per shard, and the number of cut links."""
     shards, rows = len(quota), sum(quota)
     atoms = written(atoms, "labels", rows=rows)
-    quiet = 0
-    for turn in range(max_rounds):
+    quiet, turn, cut = 0, -1, cut_links(atoms)
+    while quiet < 2 and cut:
+        turn += 1
         load = {r["shard"]: r["n"] for r in atoms.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         free = F.array(*[F.lit(max(0, quota[s] - load.get(s, 0))) for s in range(shards)])
         where = atoms.groupBy("key", "shard").agg(F.sum("n").alias("w"))
@@ -85,16 +96,16 @@ def propagate(atoms: DataFrame, quota: list[int], max_rounds: int = MAX_ROUNDS)
         # at most shards * 64 levels * STEPS rows
         moved = wish.join(F.broadcast(open_steps), ["to", "step"]).select("key", "salt", "to")
         new = written(
-            atoms.join(moved, ["key", "salt"], "left").select("key", "salt", "n", F.coalesce("to", "shard").alias("shard"), F.col("to").isNotNull().alias("moved")),
+            atoms.join(moved, ["key", "salt"], "left").select("key", "salt", "n", F.coalesce("to", "shard").alias("shard")),
             "labels",
             rows=rows,
         )
-        quiet = 0 if new.where("moved").limit(1).count() else quiet + 1
+        now = cut_links(new)
+        quiet = 0 if now < cut else quiet + 1
+        cut = now
         forget(atoms)
         forget(wish)
-        atoms = new.drop("moved")
-        if quiet == 2:
-            break
+        atoms = new
     return atoms
 
 
@@ -109,13 +120,14 @@ def numbered(df: DataFrame, by: list[str], order: list, shards: int, buckets: in
     return out.drop("__b", "__start", "bucket")
 
 
-def assign(docs: DataFrame, shards: int = 16, carry: tuple[str, ...] = (), max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, key, law, shard, slot, and the ``carry`` columns."""
     rows = written(digests(docs, *carry), "digests")
     total = rows.count()
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(max(SALTS, total // ATOM_ROWS))).cast("int"))
     quota = quotas(total, shards)
     buckets = max(8, -(-total // (shards * BUCKET_ROWS)))
-    atoms = propagate(linked_atoms(rows, shards), quota, max_rounds)
+    atoms = propagate(linked_atoms(rows, shards), quota)
     labelled = rows.join(atoms.select("key", "salt", "shard"), ["key", "salt"], "left")
     linked = labelled.where("shard is not null").withColumn("bucket", F.xxhash64("key", "salt"))
     # a shard that its first, random labels overfilled gives up what stands beyond its quota
@@ -146,17 +158,20 @@ def assign(docs: DataFrame, shards: int = 16, carry: tuple[str, ...] = (), max_r
 
 def sharded_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """``docs`` with ``shard`` and ``slot``.  Texts stay behind while rows are dealt, and come back by their digest, each
-    distinct text once."""
+    distinct text once from a task; the rows of a text that many share are salted."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("__")).alias("__rest"))
-    dealt = assign(packed, shards, carry=("__rest",))
+    dealt = written(assign(packed, shards, carry=("__rest",)), "dealt")
     texts = (
         docs.where("text is not null")
-        .select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("__key"), "text")
-        .dropDuplicates(["__key"])
+        .groupBy(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("key"))
+        .agg(F.first("text").alias("text"), F.count("*").alias("m"))
     )
-    out = dealt.join(texts, dealt["key"] == texts["__key"], "left")
-    return out.select(*[c if c in ("doc_id", "text") else F.col("__rest")[c].alias(c) for c in docs.columns], "shard", "slot")
+    keyed = dealt.where("key is not null")
+    out = join_counted(keyed, written(texts, "texts"), ["key"], "m", keyed.count())
+    out = out.drop("m").unionByName(dealt.where("key is null").withColumn("text", F.lit(None).cast("string")))
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    return out.select(*[c if c in ("doc_id", "text") else F.col("__rest")[c].alias(c) for c in columns], "shard", "slot")
 
 
 def op6_sharding(spark, sf_dir):

@@ -14,21 +14,26 @@
 4. The union sketch estimates each candidate's similarity; the rest is verified on the full sets.
 5. Links join classes into components by alternating star contractions, in Spark.
 
+Lists that many classes share are salted wherever their entries meet.
+
 Defined results: texts with fewer than five words have one shingle, the whole sequence; null, empty and blank texts have
-none, are linked with nothing and kept; rows that repeat a doc_id are judged by their texts; a null doc_id has no
-component and is not kept; an empty table gives an empty result; further columns are ignored by :func:`near_duplicates`
-and kept by :func:`deduplicated`.
+none, are linked with nothing and kept; rows that repeat a doc_id are judged by their texts; ids may be numbers or
+strings, the smallest in their own order; a row without a doc_id links nothing, has no component and is not ``kept``, but
+passes :func:`deduplicated`, as nothing stands for it; an empty table gives an empty result; further columns are ignored
+by :func:`near_duplicates` and kept by :func:`deduplicated`.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _arrays as A
-from ._spark import keep_ids, read_table, small_batches, written
+from ._spark import forget, join_counted, keep_ids, read_table, small_batches, written
 
 WORDS = 5
 K = 64
@@ -120,11 +125,16 @@ def needed(n):
     return F.least(F.ceil(n * SIMILARITY / 100), F.lit(LEAST_SHARED))
 
 
+def with_frequency(values: DataFrame) -> DataFrame:
+    """``values`` with ``df``, the number of rows of their ``v``, where that is over 1."""
+    shared = written(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    return join_counted(values, shared, ["v"], "df", shared.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0])
+
+
 def inverted_lists(classes: DataFrame) -> DataFrame:
     """(v, c, n): the rarest sketch values of each class, as far as another class has them too."""
     values = classes.select("c", F.col("n_shingles").alias("n"), F.explode("sketch").alias("v"))
-    shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    entries = values.join(shared, "v")
+    entries = with_frequency(values)
     # values of its own come first in a class's order; a class has K values at most
     kept = F.least(F.col("n"), F.lit(K))
     ranked = entries.groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
@@ -147,9 +157,8 @@ def rarest_shingles(sets: DataFrame) -> DataFrame:
     partner shares more.
     """
     rows = sets.select("c", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
-    shared = rows.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("c")
-    ranked = rows.join(shared, "v").withColumns({"rn": F.row_number().over(own.orderBy("df", "v")), "o": F.count("*").over(own)})
+    ranked = with_frequency(rows).withColumns({"rn": F.row_number().over(own.orderBy("df", "v")), "o": F.count("*").over(own)})
     least = F.ceil(F.col("n") * SIMILARITY / 100)
     kept = ranked.where((F.col("n") - F.col("o") + F.col("rn") <= F.col("n") - least + 1) & may_link(F.col("o"), F.col("n"), F.col("o")))
     return kept.select("v", "c", "n", "o")
@@ -183,8 +192,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = written(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, set_a long, set_b long, sketch array<long>"), "sketches")
+    docs = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = written(docs.mapInArrow(_sketches, f"doc_id {kind}, n_shingles long, set_a long, set_b long, sketch array<long>"), "sketches")
     classes = (
         made.where("n_shingles > 0 and doc_id is not null")
         .groupBy("set_a", "set_b", "n_shingles")
@@ -197,31 +207,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads = heads.select(F.col("doc_id").alias("c"), "n_shingles", "sketch")
     entries = written(inverted_lists(heads), "lists")
     ids = written(entries.select("c").distinct(), "candidates")
-    sets = written(keep_ids(docs, ids, "doc_id").mapInArrow(_sets, "c long, shingles array<long>"), "shingle-sets")
+    sets = written(keep_ids(docs, ids, "doc_id").mapInArrow(_sets, f"c {kind}, shingles array<long>"), "shingle-sets")
     entries = written(rarest_shingles(sets), "rare-lists")
     many, nodes = entries.count(), ids.count()
-    known, looked = None, None
-    for turn in range(10_000):
+    known, looked, done = None, None, []
+    for turn in itertools.count():  # leaders leave their lists, so the lists run out
         leaders = LEADERS[min(turn, len(LEADERS) - 1)]
         line = entries if known is None else entries.join(known, "c", "left")
         line = line.withColumn("comp", F.col("c") if known is None else F.coalesce("comp", "c"))
-        spread = line.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least_n")).where("low < high")
-        line = line.join(spread.select("v", "least_n"), "v").where(may_link(F.col("o"), F.col("n"), F.greatest("least_n", "o")))
+        spread = line.groupBy("v").agg(
+            F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least_n"), F.count("*").alias("m")
+        )
+        spread = written(spread.where("low < high").select("v", "least_n", "m"), "list-spreads")
+        line = join_counted(line, spread, ["v"], "m", many).where(may_link(F.col("o"), F.col("n"), F.greatest("least_n", "o")))
         line = line.drop("least_n")
         # of the lists that two classes have in common, the first one makes their pair
         names = line.groupBy("c").agg(F.collect_list("v").alias("vs")).where(F.size("vs") <= MAX_NAMED)
         line = written(line.join(names, "c", "left"), "open-lists", rows=many)
+        for old in done:
+            forget(old)
         if not line.limit(1).count():
             break
         # the class with the least of its own leads: of many edited copies, the original
         chosen = (
             line.groupBy("v", F.pmod(F.xxhash64("c", F.lit(turn)), F.lit(leaders)).alias("g"))
-            .agg(F.min(F.struct((F.col("n") - F.col("o")).alias("own"), "c", "n", "o", "comp", "vs")).alias("lead"))
-            .select("v", *[F.col(f"lead.{k}").alias(f"l{k}") for k in ("c", "n", "o", "comp", "vs")])
+            .agg(F.min(F.struct((F.col("n") - F.col("o")).alias("own"), "c", "n", "o", "comp", "vs")).alias("lead"), F.max("m").alias("m"))
+            .select("v", "m", *[F.col(f"lead.{k}").alias(f"l{k}") for k in ("c", "n", "o", "comp", "vs")])
         )
         chosen = written(chosen, "leaders", rows=many)
         met = (
-            line.join(chosen, "v")
+            join_counted(line.drop("m"), chosen, ["v"], "m", many)
             .where("c <> lc and comp <> lcomp")
             .where(may_link(F.least("o", "lo"), F.col("n"), F.col("ln")))
             .where(F.coalesce(F.array_min(F.array_intersect("vs", "lvs")) == F.col("v"), F.lit(True)))
@@ -238,18 +253,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 links = links.union(known.select(F.col("c").alias("a"), F.col("comp").alias("b")))
             known = written(components(links, nodes), "components", rows=nodes)
         gone = chosen.select("v", F.col("lc").alias("c"))
-        entries = line.drop("comp", "vs").join(gone, ["v", "c"], "left_anti")
+        entries = line.drop("comp", "vs", "m").join(gone, ["v", "c"], "left_anti")
+        done = [line, chosen, spread]
     parts = classes if known is None else classes.join(known, "c", "left")
     parts = parts.withColumn("comp", F.col("c") if known is None else F.coalesce("comp", "c")).drop("c")
     out = made.drop("sketch").join(parts, ["set_a", "set_b", "n_shingles"], "left")
-    component = F.coalesce("comp", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller doc_id; of rows that repeat a kept doc_id, all stay."""
+    """``docs`` without the rows whose component has a smaller doc_id; of rows that repeat a kept doc_id, all stay, and so
+    do rows without one."""
     verdict = written(near_duplicates(docs), "verdicts")
     kept = verdict.where("kept").select("doc_id").distinct()
     dropped = verdict.where("not kept").select("doc_id").distinct().join(kept, "doc_id", "left_anti")

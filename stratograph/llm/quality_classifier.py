@@ -7,7 +7,8 @@ its count over the number of features, so that a score does not depend on the le
 sparse dot product and the bias.
 
 Training reads a bounded sample of labelled rows (``MAX_TRAINING``, by smallest MD5 of the doc_id, so that it does not
-depend on the row order): features are made on the executors, and the per-coordinate updates, which are sequential, run
+depend on the row order), one text for each: of rows that repeat a sampled doc_id the smallest; of labels that repeat one
+the largest.  Features are made on the executors, and the per-coordinate updates, which are sequential, run
 in the driver over sparse rows: the distinct places of a whole text with their counts, at most ``2**BITS``.  Scoring
 covers every whole text too.
 
@@ -131,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> np.nd
     small_batches(docs.sparkSession)
     sample = (
         labels.where("quality is not null and doc_id is not null")
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .groupBy(F.col("doc_id").cast("string").alias("doc_id"))
         .agg(F.max("quality").cast("int").alias("label"))
         .where(~held_out(F.col("doc_id")))
         .select("doc_id", "label", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("rank"))
@@ -139,7 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> np.nd
         .limit(most)
     )
     # at most ``most`` rows of under 100 bytes
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("rank", "label").agg(F.min("text").alias("text"))
     got = rows.select("rank", "label", "text").mapInArrow(_featurise, "rank string, label int, places array<int>, weights array<float>")
     table = got.toArrow().combine_chunks()
     places, weights = (table.column(c).combine_chunks() for c in ("places", "weights"))

@@ -291,7 +291,7 @@ def _blocks(block_tokens: int):
                     pa.array([held]),
                     A.lists(pa.concat_arrays(ids), np.array([len(lengths)])),
                     pa.array([lengths.astype(np.int32).tobytes()]),
-                    pa.array([place.astype(np.int32).tobytes()]),
+                    pa.array([planes(place)]),
                     pa.array([words.tobytes()]),
                     pa.array([count.astype(np.int32).tobytes()]),
                     pa.array([len(place)]),
@@ -319,6 +319,15 @@ def _blocks(block_tokens: int):
     return run
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """The bytes of 32-bit numbers, all lowest ones first: the high ones are alike, and tables and shuffles pack them."""
+    return numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(4, -1).T).view("<i4").reshape(-1)
+
+
 def part_edges(words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(parts that sorted words fall into, where each begins, and the end)."""
     if not bits:
@@ -416,7 +425,7 @@ class Block:
         raw = lambda name, kind: np.frombuffer(row.column(name)[0].as_py(), dtype=kind)
         self.id, self.ids = row.column("block")[0].as_py(), row.column("ids").combine_chunks().flatten()
         self.held = row.column("held_out")[0].as_py()
-        self.tokens, self.words = raw("tokens", np.int32), raw("words", np.uint64)
+        self.tokens, self.words = from_planes(raw("tokens", np.uint8)), raw("words", np.uint64)
         self.first = np.concatenate([[0], np.cumsum(raw("lengths", np.int32), dtype=np.int64)])
 
 

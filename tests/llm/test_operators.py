@@ -144,8 +144,31 @@ def test_token_files(spark, odd):
         at += len(ids)
 
 
+def test_token_files_are_read_at_any_place(spark, tmp_path, odd):
+    index = token_output.write_tokens(odd, _bpe.public_path(), str(tmp_path), file_ids=500)
+    library = _bpe.encoder(_bpe.public_path()).library
+    texts = defaultdict(set)
+    for d, t, *_ in awkward():
+        texts[d].add(tuple(library.encode(t or "", add_special_tokens=False).ids) + (2,))
+    for r in index.collect():
+        file = token_output.open_file(r["file"])
+        for i, d in enumerate(r["doc_ids"]):
+            assert tuple(file.document(i).tolist()) in texts[d]
+    lost = tmp_path / "ids" / "of-a-lost-task.tpk"
+    lost.write_bytes(b"TPK1")
+    token_output.drop_remains(index, str(tmp_path / "ids"))
+    assert not lost.exists() and len(list((tmp_path / "ids").glob("*.tpk"))) == index.count()
+
+
 def test_token_cache_encodes_misses_once(spark, odd):
     cache = scratch_path(spark, "cache")
+    # a cache that has some: the misses are sent to the rows, or the rows to the misses
+    for most in (100, 0):
+        warm = scratch_path(spark, "warm")
+        token_counts.token_counts(odd.where("doc_id in (4, 7)"), _bpe.public_path(), warm).collect()
+        again = token_counts.token_counts(odd, _bpe.public_path(), warm, broadcast_digests=most).collect()
+        assert spark.read.parquet(warm).count() == len({t or "" for _, t, *_ in awkward()})
+        assert Counter(r["n_tokens"] for r in again) == Counter(r["n_tokens"] for r in token_counts.token_counts(odd, _bpe.public_path(), warm).collect())
     out = token_counts.token_counts(odd, _bpe.public_path(), cache).collect()
     library = _bpe.encoder(_bpe.public_path()).library
     want = Counter((d, len((t or "").encode()), len(library.encode(t or "").ids)) for d, t, *_ in awkward())
@@ -247,6 +270,33 @@ def test_training_sees_whole_texts():
     assert own.tolist() == np.unique(places).tolist() and weights.sum() == pytest.approx(quality_classifier.SCALE)
 
 
+def test_training_against_brute_force(spark):
+    """The weights of rows trained one by one, with a dictionary for each table."""
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choices(["good", "bad", "x1", "Y?", "the"], k=12))) for i in range(40)]
+    docs = spark.createDataFrame(texts + [(0, "zzz repeats an id"), (None, "no id")], "doc_id long, text string")
+    labels = {i: int("good" in t) for i, t in texts}
+    got = quality_classifier.train(docs, spark.createDataFrame([*labels.items(), (5, 0), (None, 1)], "doc_id long, quality int"))
+    q = quality_classifier
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= q.L1 else -(z[k] - math.copysign(q.L1, z[k])) / ((q.BETA + math.sqrt(n[k])) / q.ALPHA + q.L2)
+
+    chosen = sorted((hashlib.md5(str(i).encode()).hexdigest(), t, labels[i]) for i, t in texts if zlib.crc32(str(i).encode()) % 3 != 1)
+    for _ in range(q.EPOCHS):
+        for _, text, label in chosen:
+            places, _ = q.features(pa.array([text]))
+            row = {p: c / len(places) * q.SCALE for p, c in Counter(places.tolist()).items()} | {1 << q.BITS: 1.0}
+            p = 1 / (1 + math.exp(-sum(weight(k) * v for k, v in row.items())))
+            for k, v in row.items():
+                g, w = (p - label) * v, weight(k)
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / q.ALPHA * w
+                n[k] += g * g
+    assert {k for k in np.flatnonzero(got).tolist()} == {k for k in z if weight(k)}
+    assert all(got[k] == pytest.approx(weight(k), rel=1e-4, abs=1e-6) for k in z)
+
+
 def brute_components(texts):
     sets = {}
     for d, t in texts:
@@ -302,10 +352,24 @@ def test_near_duplicates_edge_cases(spark, odd, none):
     by = defaultdict(set)
     for r in got:
         by[r["doc_id"]].add((r["component_id"], r["kept"]))
-    assert by[1] == {(1, True)} and by[2] == {(2, True)} and by[4] == {(4, True)} and by[9] == {(4, False)} and by[5] == {(4, False), (5, True)}
+    assert by[None] == {(None, False)} and by[1] == {(1, True)} and by[2] == {(2, True)} and by[4] == {(4, True)} and by[9] == {(4, False)} and by[5] == {(4, False), (5, True)}
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_hot_lists_and_string_ids(spark, monkeypatch):
+    from stratograph.llm import _spark
+
+    monkeypatch.setattr(_spark, "LEAST_HOT", 1)
+    texts = [(f"d{i:04d}", t) for i, t in edited_copies(seed=11, families=3, copies=30)]
+    got = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id string, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts)
+
+
+def test_rows_without_an_id_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    assert sorted(r["doc_id"] or 0 for r in minhash.deduplicated(docs).collect()) == [0, 1]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     out = {r["c"]: r["comp"] for r in minhash.components(links).collect()}
@@ -420,6 +484,28 @@ def test_sharding_laws(spark, odd):
     assert {r["size"] for r in out if r["doc_id"] == 1} == {1} and {r["text_crc32"] for r in out if r["doc_id"] == 4} == {zlib.crc32(awkward()[3][1].encode())}
 
 
+def test_cut_links_against_the_best_split(spark):
+    """Tiny tables: the cut that propagation leaves, against the least that any split into equal shards has."""
+    from itertools import combinations
+
+    rng = random.Random(9)
+    for sizes in ([3, 3, 2], [4, 2, 2], [2, 2, 2, 2], [5, 1, 1, 1], [6, 2]):
+        texts = [f"t{g}" for g, n in enumerate(sizes) for _ in range(n)]
+        rng.shuffle(texts)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        out = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, 2).collect()}
+        cut = lambda one: sum(texts[i] == texts[j] and (i in one) != (j in one) for i in range(8) for j in range(i))
+        best = min(cut(set(one)) for one in combinations(range(8), 4))
+        worst = max(cut(set(one)) for one in combinations(range(8), 4))
+        assert best <= cut({i for i, s in out.items() if s == 0}) <= (best + worst) / 2
+
+
+def test_cut_links_counts_pairs(spark):
+    atoms = spark.createDataFrame([("a", 0, 3), ("a", 1, 2), ("a", 1, 1), ("b", 0, 9), ("c", 0, 1), ("c", 2, 1)], "key string, shard int, n long")
+    assert sharding.cut_links(atoms) == 10
+    assert sharding.cut_links(atoms.where("false")) == 0
+
+
 def test_hot_group_fills_shards(spark):
     docs = spark.createDataFrame([(i, "hot" if i % 3 else f"t{i}") for i in range(600)], "doc_id long, text string")
     sizes = Counter(r["shard"] for r in sharding.assign(docs, 16).collect())
@@ -452,6 +538,22 @@ def test_repeated_windows_brute_force(spark):
         assert r["n_repeat_words"] == len(hit) and r["n_words"] == len(w)
 
 
+def test_many_common_lines_are_joined(spark, monkeypatch):
+    """Beyond the broadcast bounds, with every line hot, the results are the same."""
+    from stratograph.llm import _spark
+
+    monkeypatch.setattr(_spark, "LEAST_HOT", 1)
+    rng = random.Random(12)
+    text = lambda: "\n".join(rng.choice(["menu of this site and more", "all rights reserved here now", "w" + str(rng.random())]) for _ in range(6))
+    docs = spark.createDataFrame([(i, text(), "en", rng.choice(["a", "b", None]), 1) for i in range(80)], DOCS)
+    pages = docs.selectExpr("doc_id as page_id", "concat('http://', coalesce(source, 'x'), '.example/') as url", "replace(text, '\n', '<br>') as html")
+    cleaned = lambda given, **how: quality_rules.cleaned_documents(given, min_left=1, max_removed=0.99, **how)
+    for f, given in ((quality_rules.line_frequency_rules, docs), (cleaned, docs), (line_dedup.without_boilerplate, pages)):
+        few, many = (Counter(map(tuple, f(given, broadcast_lines=n).collect())) for n in (10**6, 0))
+        assert few == many and few
+    assert not any("menu of this site" in r["text"] for r in cleaned(docs).collect())
+
+
 def test_line_dedup(spark):
     rows_ = [(i, f"https://Site.example/{i}", f"<p>menu entry</p><p>story {i}</p><script>x()</script>") for i in range(6)]
     rows_ += [(7, None, None), (8, "no address", "<b>alone</b>"), (9, "http://other.example/", "<p>menu entry</p>")]
@@ -497,9 +599,32 @@ def test_clashing_columns(clash, bench_items):
     assert mixing.mixed_documents(clash).columns == clash.columns
     assert minhash.deduplicated(clash).columns == clash.columns
     assert sharding.assign(clash).count() == n
+    assert sorted(sharding.sharded_documents(clash).columns) == sorted(clash.columns)
+    assert sorted(mixing.mix(clash).columns) == sorted({*clash.columns, *mixing.MIXED})
+    assert quality_rules.cleaned_documents(clash).columns == clash.columns
+    assert token_output.read_tokens(token_output.write_tokens(clash, _bpe.public_path(), scratch_path(clash.sparkSession, "c"))).count() == n
+    assert token_counts.token_counts(clash, _bpe.public_path(), scratch_path(clash.sparkSession, "c")).count() == n
+    pages = clash.selectExpr("doc_id as page_id", "text as url", "text as html", "host", "row", "key as lines", "found as drop")
+    assert line_dedup.without_boilerplate(pages).count() == n
     assert quality_classifier.accepted(clash, np.zeros((1 << quality_classifier.BITS) + 1)).columns == clash.columns
     assert hmm_lm.language_model_scores(clash).count() == n
 
 
+def test_sharded_rows_are_those_given(odd, spark):
+    copies = spark.createDataFrame([(500 + i, "hot text", None, "a", i) for i in range(300)], DOCS)
+    given = odd.union(copies)
+    assert Counter(map(tuple, sharding.sharded_documents(given).drop("shard", "slot").collect())) == Counter(map(tuple, given.collect()))
+
+
+def test_ranks_are_those_of_a_sort(spark):
+    from pyspark.sql import functions as F
+
+    from stratograph.llm._spark import ranked
+
+    rows_ = [(None,), *((f"s{i % 40:02d}{i}",) for i in range(300))]
+    got = ranked(spark.createDataFrame(rows_, "s string").repartition(5), F.col("s").asc_nulls_last()).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(301)) and [r["s"] for r in got] == sorted(x for x, in rows_ if x) + [None]
+
+
 def test_items_digest():
     assert decontamination.items_digest(["10", "9"]) == hashlib.sha256(b"10,9").hexdigest()

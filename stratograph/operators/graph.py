@@ -144,13 +144,13 @@ def route(arcs: DataFrame, start, goal, max_depth: int | None = None) -> DataFra
     return spark.createDataFrame([], f"step int, node {node}, kind string")
 
 
-def reachable(arcs: DataFrame, max_rounds: int = 40) -> DataFrame:
+def reachable(arcs: DataFrame) -> DataFrame:
     """(src, dst): pairs with a path of one arc or more, by doubling; meant for district graphs."""
     from ..sources.tables import checkpointed
 
     closure = checkpointed(arcs.select("src", "dst").distinct())
     size = closure.count()
-    for _ in range(max_rounds):
+    while True:
         longer = closure.alias("x").join(closure.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src"), F.col("y.dst"))
         closure = checkpointed(closure.union(longer).distinct())
         if (now := closure.count()) == size:

@@ -123,12 +123,13 @@ def fan_in(shares: DataFrame, digits: int | None = 2) -> DataFrame:
     return shares.where("src <> dst").groupBy("dst").agg((round_even(total, digits) if digits is not None else total).alias("fanin"))
 
 
-def descendant_fan_in(tree: DataFrame, shares: DataFrame, max_depth: int = 64) -> DataFrame:
+def descendant_fan_in(tree: DataFrame, shares: DataFrame) -> DataFrame:
     """(dst, fanin): import mass that a file gets from its own subtree (parent, child)."""
-    closure = tree.select(F.col("parent").alias("top"), F.col("child").alias("below"))
-    step = closure
-    for _ in range(max_depth):
-        step = (
+    from ..sources.tables import checkpointed
+
+    closure = step = tree.select(F.col("parent").alias("top"), F.col("child").alias("below"))
+    while True:  # down the tree, until its depth is reached
+        step = checkpointed(
             step.join(tree.select(F.col("parent").alias("below"), "child"), "below")
             .select("top", F.col("child").alias("below"))
             .join(closure, ["top", "below"], "left_anti")

@@ -20,7 +20,8 @@ CTES = {
   select l_suppkey as src, l_shipdate as ts, lead(l_suppkey) over (partition by l_orderkey
     order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as dst from lineitem),
 e as (select src, dst, count(*) as n from seq where dst is not null and src <> dst group by src, dst)""",
-    "e10": "e10 as (select src, dst from e where n >= 10)",
+    "heavy": """heavy as (select src, dst, n from (
+  select *, row_number() over (partition by src order by n desc, dst) as rn from e) where rn <= 3)""",
     "und": "und as (select least(src, dst) as a, greatest(src, dst) as b, sum(n)::double as weight from e group by all)",
     "cf": "cf as (select distinct l_orderkey as sha, l_suppkey as f from lineitem)",
     "part_files": """part_files as (
@@ -28,7 +29,7 @@ e as (select src, dst, count(*) as n from seq where dst is not null and src <> d
     coalesce(n, 0)::bigint as churn, coalesce(q, 0)::double as fanin
   from part left join (select l_partkey, count(*) as n, sum(l_quantity) as q from lineitem group by 1) on l_partkey = p_partkey)""",
 }
-NEEDS = {"e10": ["e"], "und": ["e"]}
+NEEDS = {"heavy": ["e"], "und": ["e"]}
 
 
 def with_(*names: str) -> str:
@@ -69,10 +70,15 @@ def sequence(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("dst is not null and src <> dst")
 
 
-def arcs(spark: SparkSession, d: str, least: int = 1) -> DataFrame:
-    """(src, dst, n) with at least so many steps."""
-    out = sequence(spark, d).groupBy("src", "dst").agg(F.count("*").alias("n"))
-    return out.where(F.col("n") >= least) if least > 1 else out
+def arcs(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst, n): all arcs."""
+    return sequence(spark, d).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def heavy_arcs(spark: SparkSession, d: str, most: int = 3) -> DataFrame:
+    """A sparse graph at every size of the tables: of each source the ``most`` heaviest arcs, the smaller target on ties."""
+    order = Window.partitionBy("src").orderBy(F.desc("n"), "dst")
+    return arcs(spark, d).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).drop("rn")
 
 
 def undirected(spark: SparkSession, d: str) -> DataFrame:

@@ -24,15 +24,15 @@ EPOCH = "1998-01-01"
 # ---- debt
 
 
-@query("misplaced", with_("sup", "e10") + """,
-t as (select e10.src as f, q.lang as other from e10 join sup q on q.file_id = e10.dst union all select e10.dst, q.lang from e10 join sup q on q.file_id = e10.src),
+@query("misplaced", with_("sup", "heavy") + """,
+t as (select heavy.src as f, q.lang as other from heavy join sup q on q.file_id = heavy.dst union all select heavy.dst, q.lang from heavy join sup q on q.file_id = heavy.src),
 n as (select f, other, count(*) as n from t group by all),
 r as (select path, s.lang as district, other, n, sum(n) over (partition by f) as edges from n join sup s on s.file_id = f),
 k as (select *, row_number() over (partition by path order by n desc, other) as rn from r where other <> district and edges >= 5)
 select path, district, edges::bigint as edges, other as to_district, round_even(n / edges, 4) as share from k where rn = 1 and n / edges > 0.3::double""")
 def misplaced(spark, d):
     files = base.sup(spark, d).withColumn("district", F.col("lang"))
-    return D.misplaced(files, base.arcs(spark, d, 10), min_share=0.3)
+    return D.misplaced(files, base.heavy_arcs(spark, d), min_share=0.3)
 
 
 CUT = "(select min(v) from (select {c} as v from {t} order by {c} desc limit greatest(ceil(0.05::double * (select count(*) from {t}))::int, {m}, 1)))"
@@ -63,14 +63,14 @@ def top_cut(spark, d):
     return D.top_cut(base.part_files(spark, d), "fanin")
 
 
-@query("unreached", with_("sup", "e10") + """ select path, district, count(*) as out_edges from e10 join sup on file_id = src
-where src not in (select dst from e10) group by path, district""")
+@query("unreached", with_("sup", "heavy") + """ select path, district, count(*) as out_edges from heavy join sup on file_id = src
+where src not in (select dst from heavy) group by path, district""")
 def unreached(spark, d):
-    return D.unreached(base.sup(spark, d), base.arcs(spark, d, 10))
+    return D.unreached(base.sup(spark, d), base.heavy_arcs(spark, d))
 
 
-@query("hidden_coupling", with_("cf", "sup", "e10") + COCHANGE + """,
-li as (select distinct least(src, dst) as a, greatest(src, dst) as b from e10),
+@query("hidden_coupling", with_("cf", "sup", "heavy") + COCHANGE + """,
+li as (select distinct least(src, dst) as a, greatest(src, dst) as b from heavy),
 h as (select x.path as left_path, y.path as right_path, cnt, weight, x.district as dx, y.district as dy,
     regexp_extract(x.path, '^(.*)/', 1) = regexp_extract(y.path, '^(.*)/', 1) as same_dir
   from co join sup x on x.file_id = co.a join sup y on y.file_id = co.b
@@ -78,7 +78,7 @@ h as (select x.path as left_path, y.path as right_path, cnt, weight, x.district
 select left_path, right_path, cnt, round_even(weight, 6) as weight,
   row_number() over (order by same_dir, dx = dy, weight desc, cnt desc, left_path, right_path)::int as rank from h""")
 def hidden_coupling(spark, d):
-    return D.hidden_coupling(base.sup(spark, d), S.cochange_pairs(base.commit_files(spark, d)), base.arcs(spark, d, 10), min_weight=0.03)
+    return D.hidden_coupling(base.sup(spark, d), S.cochange_pairs(base.commit_files(spark, d)), base.heavy_arcs(spark, d), min_weight=0.03)
 
 
 @query("district_bundles", BUNDLES + " select * from bu")
@@ -86,8 +86,8 @@ def district_bundles(spark, d):
     return D.bundles(base.sup(spark, d), base.arcs(spark, d))
 
 
-@query("district_cycles", with_("sup", "e") + """,
-e12 as (select src, dst from e where n >= 12),
+@query("district_cycles", with_("sup", "heavy") + """,
+e12 as (select src, dst from heavy),
 bu as (select x.district as src, y.district as dst, count(*) as n from e12 e join sup x on x.file_id = e.src join sup y on y.file_id = e.dst where x.district <> y.district group by all),
 r as (select src, dst from bu union select r.src, bu.dst from r join bu on bu.src = r.dst),
 m as (select p.src as node, p.dst as other from r p join r q on p.src = q.dst and p.dst = q.src),
@@ -95,7 +95,7 @@ c as (select node, least(node, min(other)) as component from m group by node hav
 f as (select x.component, count(*) as bundles, sum(n)::bigint as imports from bu join c x on x.node = src join c y on y.node = dst where x.component = y.component group by x.component)
 select c.component, string_agg(node::varchar, ',' order by node) as districts, bundles, imports from c join f on f.component = c.component group by c.component, bundles, imports""")
 def district_cycles(spark, d):
-    return D.district_cycles(base.sup(spark, d), base.arcs(spark, d, 12))
+    return D.district_cycles(base.sup(spark, d), base.heavy_arcs(spark, d))
 
 
 @query("debt_diff", """with b as (select o_custkey as path, count(*) as n, sum(o_totalprice) as price from orders where o_orderdate <= '1998-01-01' group by 1),
@@ -109,10 +109,10 @@ def debt_diff(spark, d):
     return rounded(out, "price_delta", digits=2)
 
 
-@query("pinned_relabel", with_("sup", "e") + """,
+@query("pinned_relabel", with_("sup", "heavy") + """,
 bs as (select file_id, district from sup where file_id % 7 <> 0),
 nw as (select file_id from sup where file_id % 7 = 0),
-si as (select src, dst from e where n >= 8 union all select dst, src from e where n >= 8),
+si as (select src, dst from heavy union all select dst, src from heavy),
 w as (select si.src as file_id, bs.district, count(*) as n from si join nw on nw.file_id = si.src join bs on bs.file_id = si.dst group by all),
 r as (select *, row_number() over (partition by file_id order by n desc, district) as rn from w)
 select s.file_id, coalesce(bs.district, r.district, (select max(district) + 1 from bs))::int as district,
@@ -120,7 +120,7 @@ select s.file_id, coalesce(bs.district, r.district, (select max(district) + 1 fr
 from sup s left join bs using (file_id) left join r on r.file_id = s.file_id and r.rn = 1""")
 def pinned_relabel(spark, d):
     files = base.sup(spark, d).select("file_id", "district")
-    return D.pinned_districts(files, files.where("file_id % 7 <> 0"), base.arcs(spark, d, 8))
+    return D.pinned_districts(files, files.where("file_id % 7 <> 0"), base.heavy_arcs(spark, d))
 
 
 @query("debt_filters", with_("part_files") + HOT + """,
@@ -255,12 +255,12 @@ def district_search(spark, d):
     return W.district_hits(n.join(s, "district", "left").withColumn("size", F.coalesce("size", F.lit(0))), "i")
 
 
-@query("ranked_neighbours", with_("e10") + """,
-fi as (select dst as file_id, count(*) as fanin from e10 group by 1),
-n as (select dst as file_id from e10 where src = 1 union select src from e10 where dst = 1)
+@query("ranked_neighbours", with_("heavy") + """,
+fi as (select dst as file_id, count(*) as fanin from heavy group by 1),
+n as (select dst as file_id from heavy where src = 1 union select src from heavy where dst = 1)
 select file_id, coalesce(fanin, 0) as fanin, row_number() over (order by coalesce(fanin, 0) desc, file_id)::int as rank from n left join fi using (file_id) order by rank limit 8""")
 def ranked_neighbours(spark, d):
-    thick = base.arcs(spark, d, 10)
+    thick = base.heavy_arcs(spark, d)
     fan = thick.groupBy(F.col("dst").alias("file_id")).agg(F.count("*").alias("fanin"))
     files = base.sup(spark, d).select("file_id").join(fan, "file_id", "left").withColumn("fanin", F.coalesce("fanin", F.lit(0)).cast("long"))
     return W.ranked_neighbours(thick, files, 1, 8)
@@ -555,14 +555,14 @@ def pearson_spearman(spark, d):
     return E.correlations(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
 
 
-PAIRSETS = with_("e") + """,
-h as (select src as a, dst as b from e where n >= 6), o as (select src as a, dst as b from e where n >= 4 and (src + dst) % 3 <> 0)"""
+PAIRSETS = with_("heavy") + """,
+h as (select src as a, dst as b from heavy),
+o as (select src as a, dst as b from (select *, row_number() over (partition by src order by n desc, dst) as rn from e) where rn <= 5 and (src + dst) % 3 <> 0)"""
 
 
 def _pairs(spark, d):
-    e = base.arcs(spark, d)
-    hand = e.where("n >= 6").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return hand, e.where("n >= 4 and (src + dst) % 3 <> 0").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    ends = lambda e: e.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return ends(base.heavy_arcs(spark, d)), ends(base.heavy_arcs(spark, d, 5).where("(src + dst) % 3 <> 0"))
 
 
 @query("set_compare", PAIRSETS + """, j as (select h.a as ha, o.a as oa from h full join o on h.a = o.a and h.b = o.b),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import blend as B
@@ -88,7 +89,7 @@ def path_proximity(spark, d):
 
 
 CANDIDATES = with_("cf", "sup", "und") + COCHANGE + f""",
-st as (select a, b, weight from und where weight >= 10),
+st as (select a, b, weight from und),
 pairs as (select a, b from co union select a, b from st),
 top as (select s.lang, greatest(coalesce(max(st.weight), 0), 1) as top from sup s left join st on st.a = s.file_id group by s.lang),
 c0 as (select p.a, p.b, coalesce(st.weight, 0) / top.top as static_s, least(coalesce(co.weight, 0), 1) as cochange_s,
@@ -103,7 +104,7 @@ cand as (select a, b, round_even(static_s, 4) as static_s, round_even(cochange_s
 @query("candidate_edges", CANDIDATES + " select * from cand")
 def candidates(spark, d):
     co = checkpointed(S.cochange_pairs(base.commit_files(spark, d)))
-    static = checkpointed(base.undirected(spark, d).where("weight >= 10"))
+    static = checkpointed(base.undirected(spark, d))
     none = static.where("false").select("a", "b", F.col("weight").alias("cosine"))
     # masses, blend and floor all read the candidates: they are made once
     return checkpointed(S.assemble(S.candidate_pairs(co, static), base.sup(spark, d), static, co, none))
@@ -250,12 +251,12 @@ def where_qualified(spark, d):
     return L.qualified_symbols(rows.withColumn("file_id", F.lit(0))).select("sym_id", "local")
 
 
-@query("coverage_rollup", with_("sup", "e10") + """,
-hit as (select src as file_id from e10 union select dst from e10)
+@query("coverage_rollup", with_("sup", "heavy") + """,
+hit as (select src as file_id from heavy union select dst from heavy)
 select lang, count(*) as total_files, count(*) filter (where hit.file_id is null) as zero_edge_files
 from sup left join hit using (file_id) group by rollup(lang)""")
 def coverage_rollup(spark, d):
-    return L.coverage_by_language(base.sup(spark, d), base.arcs(spark, d, 10))
+    return L.coverage_by_language(base.sup(spark, d), base.heavy_arcs(spark, d))
 
 
 @query("weighted_degree", with_("und") + " select node, sum(weight) as degree from (select a as node, weight from und union all select b, weight from und) group by node")
@@ -283,13 +284,13 @@ def roads(spark, d):
     return G.roads(base.undirected(spark, d), base.sup(spark, d))
 
 
-@query("classify_districts", with_("sup", "e10") + """,
-hit as (select src as file_id from e10 union select dst from e10)
+@query("classify_districts", with_("sup", "heavy") + """,
+hit as (select src as file_id from heavy union select dst from heavy)
 select district, count(*) as size, case when count(*) * 100 >= (select count(*) from sup) * 3 then 'mainland'
   when bool_or(hit.file_id is not null) then 'island' else 'unconnected' end as class
 from sup left join hit using (file_id) group by district""")
 def classify_districts(spark, d):
-    return G.classify(base.sup(spark, d), base.arcs(spark, d, 10), percent=3)
+    return G.classify(base.sup(spark, d), base.heavy_arcs(spark, d), percent=3)
 
 
 MODULARITY = """,
@@ -331,34 +332,37 @@ def mutual_pairs(spark, d):
     return G.mutual_pairs(bundles(base.sup(spark, d), base.arcs(spark, d)))
 
 
-@query("route_bfs", with_("e10") + """,
-w as (select 1::bigint as node, 0 as depth union
-  select e10.dst, w.depth + 1 from w join e10 on e10.src = w.node where w.depth < 8)
-select node, min(depth) as depth from w group by node""")
+@query("route_bfs", with_("heavy") + """,
+w(node, depth) using key (node) as (select 1::bigint, 0 union
+  select heavy.dst, w.depth + 1 from w join heavy on heavy.src = w.node where not exists (select 1 from recurring.w seen where seen.node = heavy.dst))
+select node, depth from w""")
 def route_bfs(spark, d):
-    tree = G.bfs_tree(base.arcs(spark, d, 10).select("src", "dst", F.col("dst").alias("pos")), 1, max_depth=8)
-    return tree.select("node", "depth")
+    return G.bfs_tree(base.heavy_arcs(spark, d).select("src", "dst", F.col("dst").alias("pos")), 1).select("node", "depth")
+
+
+def heavy_bundles(spark, d):
+    """Of each district the three heaviest bundles: a sparse graph whatever the size of the tables."""
+    from ..operators.debt import bundles
+
+    order = Window.partitionBy("src").orderBy(F.desc("n"), "dst")
+    return bundles(base.sup(spark, d), base.arcs(spark, d)).withColumn("rn", F.row_number().over(order)).where("rn <= 3").drop("rn")
 
 
 @query("reachable_nations", BUNDLES + """,
-s as (select src, dst from bu where n >= 30),
+s as (select src, dst from (select *, row_number() over (partition by src order by n desc, dst) as rn from bu) where rn <= 3),
 r as (select src, dst from s union select r.src, s.dst from r join s on s.src = r.dst)
 select src, dst from r""")
 def reachable_nations(spark, d):
-    from ..operators.debt import bundles
-
-    return G.reachable(bundles(base.sup(spark, d), base.arcs(spark, d)).where("n >= 30"))
+    return G.reachable(heavy_bundles(spark, d))
 
 
 @query("scc_nations", BUNDLES + """,
-s as (select src, dst from bu where n >= 30),
+s as (select src, dst from (select *, row_number() over (partition by src order by n desc, dst) as rn from bu) where rn <= 3),
 r as (select src, dst from s union select r.src, s.dst from r join s on s.src = r.dst),
 m as (select p.src as node, p.dst as other from r p join r q on p.src = q.dst and p.dst = q.src)
 select node, least(node, min(other)) as component from m group by node having count(*) filter (where other <> node) > 0""")
 def scc_nations(spark, d):
-    from ..operators.debt import bundles
-
-    return G.strong_components(bundles(base.sup(spark, d), base.arcs(spark, d)).where("n >= 30"))
+    return G.strong_components(heavy_bundles(spark, d))
 
 
 @query("capitals", with_("sup", "und") + """,

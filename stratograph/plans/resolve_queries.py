@@ -38,13 +38,13 @@ def innermost_interval(spark, d):
 
 
 @query("structural_implements", """with pr as (select distinct l_suppkey as owner, p_brand as method, p_type as sig from lineitem join part on p_partkey = l_partkey),
-rq as (select distinct p_size as interface, p_brand as method, p_type as sig from part where p_partkey % 9 = 0),
+rq as (select distinct p_size as interface, p_brand as method, p_type as sig from part),
 nd as (select interface, count(*) as need from rq group by 1)
 select owner, rq.interface from rq join pr using (method, sig) join nd on nd.interface = rq.interface group by owner, rq.interface, need having count(*) = need""")
 def structural_implements(spark, d):
     p = table(spark, d, "part")
     provided = table(spark, d, "lineitem").join(p, F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_suppkey").alias("owner"), F.col("p_brand").alias("method"), F.col("p_type").alias("sig"))
-    return R.implements(p.where("p_partkey % 9 = 0").select(F.col("p_size").alias("interface"), F.col("p_brand").alias("method"), F.col("p_type").alias("sig")), provided)
+    return R.implements(p.select(F.col("p_size").alias("interface"), F.col("p_brand").alias("method"), F.col("p_type").alias("sig")), provided)
 
 
 @query("generated_collapse", """with f as (select doc_id, min(doc_id) over (partition by text) as target, lead(doc_id) over (order by doc_id) as nxt from documents),
@@ -70,14 +70,14 @@ def reexport_follow(spark, d):
     return R.followed(p, b).select("module", "target")
 
 
-@query("import_mass", with_("e") + """, s as (select src, dst, dst % 3 as stmt from e where n >= 5), p as (select src, dst, 1.0::double / count(*) over (partition by src, stmt) as share from s)
+@query("import_mass", with_("e") + """, s as (select src, dst, dst % 3 as stmt from e), p as (select src, dst, 1.0::double / count(*) over (partition by src, stmt) as share from s)
 select src, dst, round_even(sum(share), 6) as share from p group by all""")
 def import_mass(spark, d):
-    e = base.arcs(spark, d, 5).withColumn("stmt", F.col("dst") % 3)
+    e = base.arcs(spark, d).withColumn("stmt", F.col("dst") % 3)
     return R.import_mass(e).withColumn("share", F.rint(F.col("share") * 1e6) / 1e6)
 
 
-@query("narrowed_imports", """with dc as (select distinct p_brand as package, p_partkey as file, p_name as name from part where p_partkey % 5 = 0),
+@query("narrowed_imports", """with dc as (select distinct p_brand as package, p_partkey as file, p_name as name from part),
 sl as (select distinct l_suppkey as src, p_brand as package, p_name as name from lineitem join part on p_partkey = l_partkey),
 ow as (select package, name, count(distinct file) as owners, min(file) as file from dc group by all),
 mt as (select sl.*, ow.file, coalesce(owners = 1, false) as sure from sl left join ow using (package, name)),
@@ -86,7 +86,7 @@ select distinct mt.src, mt.package, mt.file from mt join vd using (src, package)
 union all select distinct vd.src, vd.package, dc.file from vd join dc using (package) where not vd.sure""")
 def narrowed_imports(spark, d):
     p = table(spark, d, "part")
-    declared = p.where("p_partkey % 5 = 0").select(F.col("p_brand").alias("package"), F.col("p_partkey").alias("file"), F.col("p_name").alias("name"))
+    declared = p.select(F.col("p_brand").alias("package"), F.col("p_partkey").alias("file"), F.col("p_name").alias("name"))
     li = table(spark, d, "lineitem")
     selected = li.join(p, F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_suppkey").alias("src"), F.col("p_brand").alias("package"), F.col("p_name").alias("name")).distinct()
     return R.narrowed_packages(selected, declared)

@@ -62,14 +62,14 @@ def member_fingerprints(spark, d):
     return base.sup(spark, d).groupBy("district").agg(scalar.member_fingerprint(F.collect_list("path")).alias("fingerprint"))
 
 
-@query("package_projection", with_("sup", "e10") + """,
-p as (select e10.src as s, x.lang as a, y.lang as b from e10 join sup x on x.file_id = e10.src join sup y on y.file_id = e10.dst where x.lang <> y.lang),
+@query("package_projection", with_("sup", "heavy") + """,
+p as (select heavy.src as s, x.lang as a, y.lang as b from heavy join sup x on x.file_id = heavy.src join sup y on y.file_id = heavy.dst where x.lang <> y.lang),
 n as (select a as src, b as dst, count(*) as n from p group by all),
 r as (select src, dst from n union select r.src, n.dst from r join n on n.src = r.dst)
 select src, dst, n, (select count(*) > 0 from r where r.src = r.dst) as crosses from n""")
 def package_projection(spark, d):
     files = base.sup(spark, d)
-    return D.package_projection(files, base.arcs(spark, d, 10), files.select(F.col("lang").alias("root")).distinct())
+    return D.package_projection(files, base.heavy_arcs(spark, d), files.select(F.col("lang").alias("root")).distinct())
 
 
 CARRIER = with_("cf") + """,

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: set[str] = set()
+_own: dict[str, str] = {}
 
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -25,11 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; a folder of this application where that is unset (tests)."""
-    context = df.sparkSession.sparkContext
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder ``spark.checkpoint.dir``; in local mode, where that may be unset (tests), one of this application."""
+    context = spark.sparkContext
     told = context.getConf().get("spark.checkpoint.dir", None)
-    if not told and context.applicationId not in _own:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="stratograph-"))
-        _own.add(context.applicationId)
-    return df.checkpoint()
+    if told:
+        return told.rstrip("/")
+    if not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+    app = context.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="stratograph-")
+    return _own[app]
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read again: the lineage ends there, and no stage runs twice."""
+    path = f"{scratch_root(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ from ..functions.scalar import (
     round_away,
     round_even,
 )
-from .graph import mutual_pairs, place_by_plurality, strong_components
+from .graph import feedback_cut, mutual_pairs, place_by_plurality, strong_components
 
 MIN_EDGES, MIN_SHARE = 5, 0.5
 TOP_FRACTION = 0.05
@@ -168,6 +168,61 @@ def cycle_actions(files: DataFrame, arcs: DataFrame) -> DataFrame:
     return mutual_pairs(bundles(files, arcs))
 
 
+def cycle_routes(files: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(component, step, district): of every cycle of districts a shortest way round from its first bundle (src, dst) and
+    back.  A district graph is small: one row for each bundle."""
+    between = bundles(files, arcs)
+    inside = _cyclic(between, strong_components(between)).collect()
+    out = []
+    for c in sorted({r["component"] for r in inside}):
+        near: dict = {}
+        for r in sorted((r for r in inside if r["component"] == c), key=lambda r: (r["src"], r["dst"])):
+            near.setdefault(r["src"], []).append(r["dst"])
+        start = min(near)
+        way, came = [near[start][0]], {near[start][0]: None}
+        for node in way:  # grows as it is walked: breadth first
+            for other in near[node]:
+                if other not in came:
+                    came[other] = node
+                    way.append(other)
+        back, node = [], start
+        while node is not None:
+            back.append(node)
+            node = came[node]
+        out += [(c, i, d) for i, d in enumerate([start, *reversed(back)])]
+    kind = files.schema["district"].dataType.simpleString()
+    return files.sparkSession.createDataFrame(out, f"component {kind}, step int, district {kind}")
+
+
+def _cyclic(between: DataFrame, member: DataFrame) -> DataFrame:
+    """Bundles inside a component, with it."""
+    at = lambda end: member.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+    return between.join(at("src"), "src").join(at("dst"), "dst").where("c_src = c_dst").select(F.col("c_src").alias("component"), "src", "dst", "n")
+
+
+def cycle_report(files: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(component, districts, bundles, imports, mutual, cut): cycles with their mutual pairs and the bundles whose removal
+    leaves no cycle, each as ``a>b`` in order."""
+    between = bundles(files, arcs)
+    member = strong_components(between)
+    inside = _cyclic(between, member)
+    text = lambda a, b: F.concat_ws(">", F.col(a).cast("string"), F.col(b).cast("string"))
+    listed = lambda rows, name: rows.groupBy("component").agg(F.array_sort(F.collect_list("t")).alias(name))
+    pairs = mutual_pairs(inside.select("src", "dst", "n")).join(member.select(F.col("node").alias("a"), "component"), "a")
+    cut = feedback_cut([(r["src"], r["dst"], r["n"]) for r in inside.collect()])  # one row for each pair of districts
+    kind = files.schema["district"].dataType.simpleString()
+    cuts = files.sparkSession.createDataFrame(cut, f"src {kind}, dst {kind}").join(member.select(F.col("node").alias("src"), "component"), "src")
+    out = district_cycles(files, arcs).join(listed(pairs.select("component", text("a", "b").alias("t")), "mutual"), "component", "left")
+    out = out.join(listed(cuts.select("component", text("src", "dst").alias("t")), "cut"), "component", "left")
+    none = F.array().cast("array<string>")
+    return out.withColumns({"mutual": F.coalesce("mutual", none), "cut": F.coalesce("cut", none)})
+
+
+def compact_evidence(report: DataFrame) -> DataFrame:
+    """A cycle report for a summary: without the bundles' numbers and lists."""
+    return report.select("component", "districts", F.size("mutual").alias("mutual"), F.size("cut").alias("cut"))
+
+
 def pinned_districts(head: DataFrame, base: DataFrame, arcs: DataFrame) -> DataFrame:
     """(file_id, district, status): districts of the base map; new files by the edges to placed ones; the rest in one
     district past the last."""

@@ -29,6 +29,25 @@ def ranked_terms(files: DataFrame) -> DataFrame:
     return sums.select("district", "segment", "score", F.row_number().over(order).alias("rank"))
 
 
+def filename_words(files: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(district, other, word, score, rank): words of a district's file names that tell it from the other one of the same
+    name: longer than three letters, in two of its files and 30 % of them at least; by the inverse document frequency
+    over the files of both, then by word.  ``pairs``: district, other."""
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    parts = F.split(F.lower(F.regexp_replace(stem, r"([a-z0-9])([A-Z])", "$1 $2")), r"[^a-z0-9]+")
+    words = files.select("district", "path", F.explode(F.array_distinct(F.filter(parts, lambda w: F.length(w) > 3))).alias("word"))
+    sizes = files.groupBy("district").agg(F.count("*").alias("size"))
+    counts = words.groupBy("district", "word").agg(F.count("*").alias("n"))
+    own = pairs.join(counts, "district").join(sizes, "district")
+    there = counts.select(F.col("district").alias("other"), "word", F.col("n").alias("m"))
+    out = own.join(there, ["other", "word"], "left").join(sizes.select(F.col("district").alias("other"), F.col("size").alias("others")), "other")
+    enough = F.col("n") >= F.greatest(F.lit(2.0), 0.3 * F.col("size"))
+    score = F.col("n") / F.col("size") * F.log((F.col("size") + F.col("others") + 1) / (F.col("n") + F.coalesce("m", F.lit(0)) + F.lit(1.0)))
+    out = out.where(enough).withColumn("score", F.rint(score * 1e6) / 1e6)
+    order = Window.partitionBy("district", "other").orderBy(F.desc("score"), "word")
+    return out.select("district", "other", "word", "score", F.row_number().over(order).alias("rank"))
+
+
 def proposed_names(ranked: DataFrame) -> DataFrame:
     """(district, name): the first term, and the second if it scores over 0.55 of it; 32 characters at most."""
     first = ranked.where("rank = 1").select("district", F.col("segment").alias("s1"), F.col("score").alias("v1"))

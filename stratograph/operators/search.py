@@ -48,6 +48,46 @@ def district_hits(districts: DataFrame, query: str, limit: int = DISTRICT_LIMIT)
     return tiered.where("tier is not null").orderBy("tier", F.desc("size"), "district").limit(limit).select("district", "name", "tier")
 
 
+def grouped_results(files: DataFrame, symbols: DataFrame | None, districts: DataFrame, query: str, each: int = HIT_LIMIT) -> DataFrame:
+    """(kind, name, id, rank): results of a palette by kind, ``each`` of a kind at most; without a query the six largest
+    districts that are connected."""
+    if not query.strip():
+        named = districts.where("class <> 'unconnected'") if "class" in districts.columns else districts
+        rows = named.select(F.lit("district").alias("kind"), "name", F.col("district").cast("long").alias("id"), (-F.col("size")).cast("double").alias("score"))
+        each = 6
+    else:
+        hits = search_hits(files, symbols, query.strip(), 2 * each).select("kind", "name", F.col("id").cast("long").alias("id"), "score")
+        found = district_hits(districts, query.strip()).select(F.lit("district").alias("kind"), "name", F.col("district").cast("long").alias("id"), F.col("tier").cast("double").alias("score"))
+        rows = hits.union(found)
+    order = Window.partitionBy("kind").orderBy("score", "id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each).select("kind", "name", "id", "rank")
+
+
+def street_flows(arcs: DataFrame, files: DataFrame, district, most: int = 20) -> DataFrame:
+    """(src, dst, n, rank): the largest directed flows between two neighbourhoods of a district (files: file_id, district,
+    neighbourhood)."""
+    own = files.where(F.col("district") == district).select("file_id", "neighbourhood")
+    at = lambda end: own.select(F.col("file_id").alias(end), F.col("neighbourhood").alias(f"n_{end}"))
+    flows = arcs.join(at("src"), "src").join(at("dst"), "dst").where("n_src <> n_dst")
+    flows = flows.groupBy(F.col("n_src").alias("src"), F.col("n_dst").alias("dst")).agg(F.count("*").alias("n"))
+    return _largest(flows, ["src", "dst"], most)
+
+
+def cross_flows(arcs: DataFrame, files: DataFrame, district, most: int = 12) -> DataFrame:
+    """(neighbourhood, other, outward, n, rank): the largest flows between a district's neighbourhoods and other districts."""
+    at = lambda end: files.select(F.col("file_id").alias(end), F.col("district").alias(f"d_{end}"), F.col("neighbourhood").alias(f"n_{end}"))
+    both = arcs.join(at("src"), "src").join(at("dst"), "dst").where("d_src <> d_dst")
+    out = both.where(F.col("d_src") == district).select(F.col("n_src").alias("neighbourhood"), F.col("d_dst").alias("other"), F.lit(True).alias("outward"))
+    back = both.where(F.col("d_dst") == district).select(F.col("n_dst").alias("neighbourhood"), F.col("d_src").alias("other"), F.lit(False).alias("outward"))
+    flows = out.union(back).groupBy("neighbourhood", "other", "outward").agg(F.count("*").alias("n"))
+    return _largest(flows, ["neighbourhood", "other", "outward"], most)
+
+
+def _largest(flows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    order = [F.desc("n"), *keys]
+    return flows.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def ranked_neighbours(arcs: DataFrame, files: DataFrame, focus, cap: int) -> DataFrame:
     """(file_id, fanin, rank): files linked with the focus either way, by fan-in."""
     near = arcs.where(F.col("src") == focus).select(F.col("dst").alias("file_id")).union(arcs.where(F.col("dst") == focus).select("src"))

@@ -13,10 +13,17 @@ def test_every_arc_is_in_the_graph(spark):
     assert catalogue.QUERIES["map_document"](spark, sf).first()["edges"] == base.arcs(spark, sf).count()
 
 
-def test_communities_and_routes_need_no_thick_arcs(spark):
-    """On sf0.1 no arc is taken 10 times."""
+def test_the_sparse_graph_is_there_at_every_size(spark):
+    """Of every source with imports one to three arcs, on the smallest tables and on larger ones."""
+    for sf in ("sf0.001", "sf0.1"):
+        d = f"/root/testdata/{sf}"
+        every, heavy = base.arcs(spark, d), base.heavy_arcs(spark, d)
+        assert heavy.select("src").distinct().count() == every.select("src").distinct().count()
+        assert heavy.groupBy("src").count().agg({"count": "max"}).first()[0] <= 3
+
+
+def test_communities_and_routes_are_found_at_scale(spark):
     d = "/root/testdata/sf0.1"
-    assert base.arcs(spark, d, 10).count() == 0
     per = catalogue.QUERIES["leiden_partition"](spark, d).groupBy("community").count().collect()
     assert 1 < len(per) < 1000
     assert catalogue.QUERIES["suggest_entry_routes"](spark, d).count() > 0

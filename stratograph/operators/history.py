@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import numbered
+
 TIMINGS = 256
 
 
@@ -107,8 +109,7 @@ def evicted(entries: DataFrame, budget: int, keep: str | None = None) -> DataFra
     """
     total = entries.agg(F.sum("size").alias("t"))
     free = entries if keep is None else entries.where(F.col("key") != keep)
-    before = F.coalesce(F.sum("size").over(Window.orderBy("last_used", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = free.withColumn("before", before).crossJoin(F.broadcast(total)).select("key", (F.col("t") - F.col("before") > budget).alias("evict"))
+    marked = numbered(free.select("key", "size", "last_used"), "last_used", "key", value="size").crossJoin(F.broadcast(total)).select("key", (F.col("t") - F.col("before") > budget).alias("evict"))
     return marked if keep is None else marked.union(entries.where(F.col("key") == keep).select("key", F.lit(False)))
 
 

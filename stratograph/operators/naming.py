@@ -59,7 +59,7 @@ def proposed_names(ranked: DataFrame) -> DataFrame:
 
 def unique_names(ranked: DataFrame, sizes: DataFrame) -> DataFrame:
     """(district, name): the largest district keeps a name; others take their next term that no name has yet, and a
-    number last.  One row for each district comes to the driver."""
+    number last.  The ranked terms of all districts come to the driver: a map has some hundred districts."""
     terms: dict = {}
     for r in ranked.orderBy("district", "rank").collect():
         terms.setdefault(r["district"], []).append(r["segment"])

@@ -61,10 +61,9 @@ def resolve(specs: DataFrame, files: DataFrame, symbols: DataFrame | None = None
     parsed = parsed_specs(specs)
     keys = ["section", "label", "pos", "spec"]
     exact = parsed.where("kind = 'file'").join(files.select(F.col("path").alias("file")), "file").select(*keys)
-    globs = [r["spec"] for r in parsed.where("kind = 'glob'").select("spec").distinct().collect()]  # an overlay is written by hand
-    hits = exact
-    for g in globs:
-        hits = hits.union(parsed.where((F.col("kind") == "glob") & (F.col("spec") == g)).crossJoin(files.where(F.col("path").rlike(glob_regex(g))).select("path")).select(*keys))
+    # an overlay is written by hand: its globs are few, and one pass over the files tries them all
+    globs = parsed.where("kind = 'glob'").select(*keys, F.udf(glob_regex, "string")("spec").alias("pattern"))
+    hits = exact.union(files.select("path").join(F.broadcast(globs), F.expr("path rlike pattern")).select(*keys))
     if symbols is not None:
         named = symbols.join(files.select("file_id", "path"), "file_id").select(F.col("path").alias("file"), F.col("name").alias("symbol"), "start")
         met = parsed.where("kind = 'symbol'").join(named, ["file", "symbol"]).where("line is null or line = start")

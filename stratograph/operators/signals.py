@@ -37,12 +37,25 @@ def cochange_pairs(commit_files: DataFrame, min_solo: int = MIN_SOLO, min_pairs:
         .agg(F.count("*").alias("cnt"))
         .where(F.col("cnt") >= min_pairs)
     )
+    return with_solo(pairs, touched).where(F.col("solo") >= min_solo).select("a", "b", "cnt", (F.col("cnt") / F.col("solo")).alias("weight"))
+
+
+def with_solo(pairs: DataFrame, touched: DataFrame) -> DataFrame:
+    """Pairs with ``solo``, the commits (sha, f) of the file that has fewer."""
     solo = touched.groupBy("f").agg(F.count("*").alias("solo"))
     out = pairs.join(solo.select(F.col("f").alias("a"), F.col("solo").alias("solo_a")), "a").join(
         solo.select(F.col("f").alias("b"), F.col("solo").alias("solo_b")), "b"
     )
-    least = F.least("solo_a", "solo_b")
-    return out.where(least >= min_solo).select("a", "b", "cnt", (F.col("cnt") / least).alias("weight"))
+    return out.withColumn("solo", F.least("solo_a", "solo_b")).drop("solo_a", "solo_b")
+
+
+def carriers(commit_files: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
+    """(min_solo, min_pairs, pairs): how many pairs each setting leaves; the pairs are made once."""
+    floor = min(p for _, p in settings), min(s for s, _ in settings)
+    pairs = cochange_pairs(commit_files, floor[1], floor[0]).withColumn("solo", F.rint(F.col("cnt") / F.col("weight")))
+    counts = pairs.agg(*[F.count_if((F.col("solo") >= s) & (F.col("cnt") >= p)).alias(f"n{i}") for i, (s, p) in enumerate(settings)])
+    rows = F.array(*[F.struct(F.lit(s).alias("min_solo"), F.lit(p).alias("min_pairs"), F.col(f"n{i}").alias("pairs")) for i, (s, p) in enumerate(settings)])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def term_vectors(terms: DataFrame, total: int) -> DataFrame:
@@ -55,11 +68,26 @@ def term_vectors(terms: DataFrame, total: int) -> DataFrame:
 
 
 def cosine_pairs(vectors: DataFrame, block: str | None = None, floor: float = COSINE_FLOOR) -> DataFrame:
-    """(a, b, cosine), a < b, above ``floor``; only pairs with an equal ``block`` column, if one is given."""
-    keys = ["term"] + ([block] if block else [])
-    left = vectors.select(F.col("id").alias("a"), F.col("w").alias("wa"), *keys)
-    right = vectors.select(F.col("id").alias("b"), F.col("w").alias("wb"), *keys)
-    sums = left.join(right, keys).where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+    """(a, b, cosine), a < b, above ``floor``; only pairs with an equal ``block`` column, if one is given.
+
+    Terms are taken from the rarest on.  What is left of a unit vector once its squares make up less than ``floor`` squared
+    cannot reach the floor with any other vector, so two vectors above it share a term ahead of that point in both: only
+    those prefixes meet, and the frequent terms of a large block meet nowhere.  The pairs found are then summed in full.
+    """
+    from ..sources.tables import checkpointed
+
+    more = [block] if block else []
+    df = Window.partitionBy("term", *more)
+    ahead = Window.partitionBy("id", *more).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = vectors.select("id", "term", "w", *more).withColumn("df", F.count("*").over(df)).where("df > 1")
+    whole = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id", *more))
+    left = whole - F.coalesce(F.sum(F.col("w") * F.col("w")).over(ahead), F.lit(0.0))
+    ranked = checkpointed(ranked.withColumn("left", left))
+    # a little under the floor, against rounding in the sums
+    prefix = ranked.where(F.col("left") >= (floor * (1 - 1e-6)) ** 2).select("id", "term", *more)
+    met = prefix.withColumnRenamed("id", "a").join(prefix.withColumnRenamed("id", "b"), ["term", *more]).where("a < b").select("a", "b", *more).distinct()
+    x, y = (ranked.select(F.col("id").alias(e), "term", F.col("w").alias(f"w{e}"), *more) for e in ("a", "b"))
+    sums = met.join(x, ["a", *more]).join(y, ["b", "term", *more]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
     return sums.where(F.col("cosine") > floor)
 
 

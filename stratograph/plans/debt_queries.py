@@ -392,7 +392,9 @@ def org_resolve(spark, d):
     return _org(spark, d).select("member", "ecosystem", "name", "pin_kind", "pin_value", "outcome", "target")
 
 
-@query("pin_judge")
+@query("pin_judge", ORG + """ select dc.pin_kind, case when dc.pin_kind = 'path' then 'unjudged' when t.m[2] = dc.pin_value then 'match' else 'skew' end as pin_status, count(*) as n
+from dc left join pr o on o.key = replace(dc.name, '_', '-') and o.member = dc.member join c on c.key = replace(dc.name, '_', '-') and c.n = 1 join pr t on t.key = c.key
+where o.member is null group by all""")
 def pin_judge(spark, d):
     edges = _org(spark, d).where("outcome = 'edge'")
     members = edges.select("target", F.sha1(F.col("target").cast("binary")).alias("commit")).distinct()

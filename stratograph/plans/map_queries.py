@@ -137,7 +137,8 @@ def compact_uses(spark, d):
     return document.compact_uses(uses, symbols)
 
 
-@query("map_document")
+@query("map_document", with_("sup", "e") + """ select 'demo' as repo, (select count(*) from sup)::int as files, (select count(*) from e)::int as edges,
+  (select list(x order by x) from (select distinct district::varchar as x from sup)) as districts""")
 def map_document(spark, d):
     arcs, files = _scored(spark, d)
     where = {c: F.lit(0.5) for c in ("x", "y", "rx", "ry", "rw", "rh")}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import layout as P
@@ -47,15 +46,14 @@ def structural_implements(spark, d):
     return R.implements(p.select(F.col("p_size").alias("interface"), F.col("p_brand").alias("method"), F.col("p_type").alias("sig")), provided)
 
 
-@query("generated_collapse", """with f as (select doc_id, min(doc_id) over (partition by text) as target, lead(doc_id) over (order by doc_id) as nxt from documents),
+@query("generated_collapse", """with f as (select doc_id, min(doc_id) over (partition by text) as target, doc_id + 1 as nxt from documents),
 e as (select x.target as a, y.target as b, x.doc_id % 7 + 1.0::double as weight, x.doc_id % 5 / 5.0::double as cochange from f x join f y on y.doc_id = x.nxt)
 select least(a, b) as a, greatest(a, b) as b, sum(weight)::double as weight, max(cochange) as cochange from e where a <> b group by all""")
 def generated_collapse(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
     first = docs.groupBy("h").agg(F.min("doc_id").alias("target"))
     redirect = docs.join(first, "h").where("doc_id <> target").select(F.col("doc_id").alias("file_id"), "target")
-    nxt = F.lead("doc_id").over(Window.orderBy("doc_id"))
-    edges = docs.select(F.col("doc_id").alias("a"), nxt.alias("b")).where("b is not null")
+    edges = docs.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")).join(docs.select(F.col("doc_id").alias("b")), "b")
     edges = edges.select("a", "b", (F.col("a") % 7 + F.lit(1.0)).alias("weight"), ((F.col("a") % 5) / F.lit(5.0)).alias("cochange"))
     return R.collapsed(edges, redirect)
 
@@ -133,34 +131,41 @@ def footprint_fit(spark, d):
     return P.area_fit(f).select((F.rint(F.col("r") * 1e6) / 1e6).alias("r"))
 
 
-@query("hit_test")
+@query("hit_test", """with p as (select l_orderkey * 10 + l_linenumber as point, min(l_tax) as x, min(l_discount) as y from lineitem group by 1),
+b as (select s_suppkey as box, (s_suppkey % 10) / 100.0::double as x0, (s_suppkey // 10) / 100.0::double as y0 from supplier)
+select point, box from p join b on x >= x0 and x < x0 + 0.015::double and y >= y0 and y < y0 + 0.015::double""")
 def hit_test(spark, d):
-    pts = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point")).agg(F.avg("l_tax").alias("x"), F.avg("l_discount").alias("y"))
+    pts = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point")).agg(F.min("l_tax").alias("x"), F.min("l_discount").alias("y"))
     s = table(spark, d, "supplier")
     x0, y0 = (F.col("s_suppkey") % 10) / F.lit(100.0), F.floor(F.col("s_suppkey") / 10) / F.lit(100.0)
     boxes = s.select(F.col("s_suppkey").alias("box"), x0.alias("x0"), y0.alias("y0"), (x0 + 0.015).alias("x1"), (y0 + 0.015).alias("y1"))
     return P.containing(pts, boxes, 0.05)
 
 
-# a package of four files, as a repository scan gives them
-SOURCES = [
-    ("town/__init__.py", "from .hall import open_doors as open\n"),
-    ("town/hall.py", '"""Docs."""\nimport town.road\n\nclass Hall:\n    def enter(self, visitor):\n        if visitor and self.free or visitor:\n            return town.road.walk(visitor)\n\ndef open_doors():\n    assert True\n'),
-    ("town/road.py", "from . import hall\nfrom town.missing import nothing\n\ndef walk(who):\n    for step in range(3):\n        yield who\n"),
-    ("town/broken.py", "def (:\n"),
-]
+# a package with a file for each part: it imports the file of another part, and a loop or a branch for each unit of its size
+PYTHON = """py as (select p_partkey as k, 'town/m' || p_partkey || '.py' as path, p_size % 5 as branches, (p_partkey * 7) % (select count(*) + 9 from part) as other from part)"""
 
 
-@query("python_metrics")
+def python_files(spark, d):
+    parts = table(spark, d, "part")
+    total = parts.agg((F.count("*") + 9).alias("total"))  # some imported files do not exist
+    k, branches = F.col("p_partkey"), (F.col("p_size") % 5).cast("int")
+    text = F.concat(
+        F.lit('"""Docs."""\n\nfrom . import m'), (k * 7) % F.col("total"), F.lit("\n\n\ndef walk(steps):\n"), F.repeat(F.lit("    if steps:\n        steps += 1\n"), branches), F.lit("    return steps\n")
+    )
+    return parts.crossJoin(F.broadcast(total)).select(F.concat(F.lit("town/m"), k, F.lit(".py")).alias("path"), text.alias("content"))
+
+
+@query("python_metrics", "with " + PYTHON + " select path, (8 + 2 * branches)::bigint as loc, (3 + 2 * branches)::bigint as code_lines, (1 + branches)::bigint as complexity, 1 as symbols from py")
 def python_metrics(spark, d):
-    files = spark.createDataFrame(SOURCES, "path string, content string")
-    return syntax.parsed(files, "python").select("path", "loc", "code_lines", "complexity", F.size("identifiers").alias("words"), F.size("symbols").alias("symbols"))
+    rows = syntax.parsed(python_files(spark, d), "python")
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    return rows.select("path", whole("loc"), whole("code_lines"), whole("complexity"), F.size("symbols").alias("symbols"))
 
 
-@query("python_imports")
+@query("python_imports", "with " + PYTHON + " select 'town.m' || x.k as src, 'town.m' || x.other as dst from py x join py y on y.k = x.other where x.k <> x.other")
 def python_imports(spark, d):
-    files = spark.createDataFrame(SOURCES, "path string, content string")
-    rows = syntax.parsed(files, "python").withColumn("src", R.module_name(F.col("path")))
+    rows = syntax.parsed(python_files(spark, d), "python").withColumn("src", R.module_name(F.col("path")))
     modules = rows.select(F.col("src").alias("module"))
     stated = rows.select("src", F.col("path").endswith("__init__.py").alias("is_package"), F.explode("imports").alias("i")).select("src", "is_package", "i.*")
     return R.python_imports(stated, modules)

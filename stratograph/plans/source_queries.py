@@ -82,12 +82,7 @@ select min_solo, min_pairs, (select count(*) from pr join solo x on x.f = a join
 
 @query("cochange_carriers", CARRIER)
 def cochange_carriers(spark, d):
-    commits = base.commit_files(spark, d)
-    out = None
-    for solo, pairs in ((3, 2), (3, 3), (5, 2), (5, 4), (100, 2), (600, 10)):
-        one = S.cochange_pairs(commits, solo, pairs).agg(F.count("*").alias("pairs")).select(F.lit(solo).alias("min_solo"), F.lit(pairs).alias("min_pairs"), "pairs")
-        out = one if out is None else out.union(one)
-    return out
+    return S.carriers(base.commit_files(spark, d), [(3, 2), (3, 3), (5, 2), (5, 4), (100, 2), (600, 10)])
 
 
 @query("rename_share", """with a as (select n_nationkey as k, n_name as name from nation), b as (select n_nationkey as k, case when n_nationkey % 4 = 0 then n_name || ' 2' else n_name end as name from nation)

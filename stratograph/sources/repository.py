@@ -10,7 +10,7 @@ import tomllib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import importable
+from .tables import importable, numbered
 
 # Fixed values.
 PYTHON_SKIP = ["__pycache__", ".git", "tests", "test", "templates", "vendor", "third_party", "migrations", "testdata", "node_modules"]
@@ -51,12 +51,10 @@ def is_source(path: Column, language: str, with_tests: bool = False) -> Column:
 
 def source_files(paths: DataFrame, language: str, package: str = "", with_tests: bool = False) -> DataFrame:
     """(file_id, path): sources below ``package``, numbered in path order from 0."""
-    from pyspark.sql import Window
-
     below = paths.where(is_source(F.col("path"), language, with_tests))
     if package:
         below = below.where(F.col("path").startswith(package.rstrip("/") + "/"))
-    return below.select((F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("file_id"), "path")
+    return numbered(below.select("path"), "path").select(F.col("place").cast("long").alias("file_id"), "path")
 
 
 def excluded_tests(paths: DataFrame, language: str) -> int:

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -45,3 +46,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{scratch_root(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *order: Column | str, value: str | None = None) -> DataFrame:
+    """``df`` with ``place``, its rows' numbers from 0 in a total order, and with ``before``, the sum of ``value`` over the
+    rows ahead.  Rows are dealt by ranges of the order, and sums over the ranges, one row each, are put before them: no
+    task holds more than a range."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranges = checkpointed(df.repartitionByRange(*cols).withColumn("__range", F.spark_partition_id()))
+    ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.sum(value) if value else F.lit(None).cast("long")
+    parts = ranges.groupBy("__range").agg(F.count("*").alias("__n"), size.alias("__s"))
+    starts = parts.select("__range", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__s0"))
+    inside = Window.partitionBy("__range").orderBy(*cols)
+    out = ranges.withColumn("__i", F.row_number().over(inside))
+    if value:
+        upto = inside.rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn("__b", F.coalesce(F.sum(value).over(upto), F.lit(0)))
+    out = out.join(F.broadcast(starts), "__range").withColumn("place", F.col("__n0") + F.col("__i") - 1)
+    if value:
+        out = out.withColumn("before", F.col("__s0") + F.col("__b")).drop("__b")
+    return out.drop("__range", "__i", "__n0", "__s0")

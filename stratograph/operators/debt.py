@@ -258,6 +258,14 @@ def filtered(findings: DataFrame, kinds: list[str] | None = None, path: str | No
     return out
 
 
+def comparable(before: dict, after: dict) -> None:
+    """Refuse to compare reports (version, pinned: the base whose districts they use, or None) that mean other things."""
+    if before["version"] != after["version"]:
+        raise ValueError(f"reports of versions {before['version']} and {after['version']}")
+    if before.get("pinned") != after.get("pinned"):
+        raise ValueError("the reports' districts come from different maps")
+
+
 def report_diff(before: DataFrame, after: DataFrame, keys: list[str], numbers: list[str]) -> DataFrame:
     """Keys, status (shared, added, removed) and the change of each number where both reports have the finding."""
     left = before.select(*keys, *[F.col(c).alias(f"{c}_before") for c in numbers], F.lit(1).alias("in_before"))

@@ -172,6 +172,31 @@ def has_cycle(arcs: DataFrame) -> bool:
     return bool(reachable(arcs).where("src = dst").limit(1).count())
 
 
+def topological_levels(arcs: DataFrame) -> DataFrame:
+    """(node, level): the longest way down to a node from one that nothing points at; nodes on a cycle, or behind one, have
+    none.  Each round takes away the nodes that nothing left points at."""
+    from ..sources.tables import checkpointed
+
+    left = checkpointed(arcs.select("src", "dst").distinct())
+    nodes = checkpointed(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct())
+    out = None
+    for level in itertools.count():
+        free = checkpointed(nodes.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
+        if not free.limit(1).count():
+            return out if out is not None else free.withColumn("level", F.lit(0))
+        ranked = free.withColumn("level", F.lit(level))
+        out = ranked if out is None else out.union(ranked)
+        nodes = checkpointed(nodes.join(free, "node", "left_anti"))
+        left = checkpointed(left.join(free.withColumnRenamed("node", "src"), "src", "left_anti"))
+
+
+def route_steps(arcs: DataFrame, files: DataFrame, start, goal) -> DataFrame:
+    """(step, node, path, district, kind) of :func:`route`; no rows where an end is no file."""
+    known = files.where(F.col("file_id").isin(start, goal)).select("file_id").distinct().count()
+    steps = route(arcs, start, goal) if known == len({start, goal}) else route(arcs.where("false"), start, goal).where("false")
+    return steps.join(files.select(F.col("file_id").alias("node"), "path", "district"), "node").select("step", "node", "path", "district", "kind")
+
+
 def feedback_cut(bundles: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Arcs (src, dst) whose removal leaves no cycle: a greedy order of a district graph (sinks last, sources first, then
     the node that sends most beyond what it gets), the arcs against it, and of those the heavy ones put back that close

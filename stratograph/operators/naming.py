@@ -57,16 +57,17 @@ def proposed_names(ranked: DataFrame) -> DataFrame:
     return both.select("district", F.substring(name, 1, MAX_NAME).alias("name"))
 
 
-def unique_names(ranked: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(district, name): the largest district keeps a name; others take their next term that no name has yet, and a
-    number last.  The ranked terms of all districts come to the driver: a map has some hundred districts."""
+def unique_names(ranked: DataFrame, sizes: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """(district, name): districts that hold a name already (district, name) keep it; then the largest district of a name
+    has it, and others take their next term that no name has yet, and a number last.  The ranked terms of all districts come to the driver: a map has some hundred districts."""
     terms: dict = {}
     for r in ranked.orderBy("district", "rank").collect():
         terms.setdefault(r["district"], []).append(r["segment"])
     names = {r["district"]: r["name"] for r in proposed_names(ranked).collect()}
     order = [r["district"] for r in sizes.orderBy(F.desc("size"), "district").collect()]
-    taken, out = set(), []
-    for d in order:
+    out = [(r["district"], r["name"]) for r in held.collect()] if held is not None else []
+    taken, done = {n for _, n in out}, {d for d, _ in out}
+    for d in (d for d in order if d not in done):
         base = names.get(d) or f"district {d}"
         tries = [base] + [f"{base} / {t}"[:MAX_NAME] for t in terms.get(d, []) if t not in base.split(" & ")]
         name = next((t for t in tries if t not in taken), None)

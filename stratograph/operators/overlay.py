@@ -78,6 +78,39 @@ def resolve(specs: DataFrame, files: DataFrame, symbols: DataFrame | None = None
     return out.select(*keys, "targets", status.alias("status"))
 
 
+def members(specs: DataFrame, files: DataFrame) -> DataFrame:
+    """(label, path): the files of every area, each once."""
+    parsed = parsed_specs(specs).where("section = 'area'")
+    exact = parsed.where("kind = 'file'").select("label", F.col("file").alias("path")).join(files.select("path"), "path").select("label", "path")
+    globs = parsed.where("kind = 'glob'").select("label", F.udf(glob_regex, "string")("spec").alias("pattern"))
+    # written by hand, so few
+    return exact.union(files.select("path").join(F.broadcast(globs), F.expr("path rlike pattern")).select("label", "path")).distinct()
+
+
+def hop_routes(specs: DataFrame, files: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(label, pos, from_spec, to_spec, kind, steps, reason): how one gets from stop to stop: ``declared`` where the stop
+    gives a reason, else along a shortest route and its kind, else ``no_route``.  A path has a handful of stops, and each
+    hop walks the graph breadth-first."""
+    from .graph import route
+
+    spark = specs.sparkSession
+    ids = files.select("file_id", "path")
+    ordered = arcs.select("src", "dst", F.col("dst").alias("pos"))
+    why = specs.where("section = 'stop'").select("label", F.col("spec").alias("to_spec"), "reason")
+    rows = []
+    for h in hops(specs).join(why, ["label", "to_spec"], "left").orderBy("label", "pos").collect():
+        ends = {r["path"]: r["file_id"] for r in ids.where(F.col("path").isin(h["from_spec"], h["to_spec"])).collect()}
+        kind, steps = "no_route", None
+        if h["reason"]:
+            kind = "declared"
+        elif {h["from_spec"], h["to_spec"]} <= set(ends):
+            way = route(ordered, ends[h["from_spec"]], ends[h["to_spec"]]).collect()
+            if way:
+                kind, steps = way[0]["kind"], len(way) - 1
+        rows.append((h["label"], h["pos"], h["from_spec"], h["to_spec"], kind, steps, h["reason"]))
+    return spark.createDataFrame(rows, "label string, pos int, from_spec string, to_spec string, kind string, steps int, reason string")
+
+
 def annotate_renames(resolved: DataFrame, renames: DataFrame) -> DataFrame:
     """Missing paths that a rename (from_path, to_path) explains are ``renamed_file``; they stay unresolved."""
     moved = renames.select(F.col("from_path").alias("spec"), "to_path")

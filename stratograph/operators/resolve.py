@@ -217,6 +217,43 @@ def linearized(bases: dict) -> dict:
     return {c: order(c, frozenset()) for c in bases}
 
 
+def ancestors_of(bases: DataFrame) -> DataFrame:
+    """(cls, base): every class above a class, itself included.  ``bases``: cls, pos, base."""
+    from ..sources.tables import checkpointed
+
+    step = found = checkpointed(bases.select("cls").distinct().select("cls", F.col("cls").alias("base")))
+    up = bases.select(F.col("cls").alias("base"), F.col("base").alias("above")).distinct()
+    while True:
+        step = checkpointed(step.join(up, "base").select("cls", F.col("above").alias("base")).distinct().join(found, ["cls", "base"], "left_anti"))
+        if not step.limit(1).count():
+            return found
+        found = found.union(step)
+
+
+def linearizations(bases: DataFrame) -> DataFrame:
+    """(cls, pos, base, known): the C3 order of every class, itself first; classes without one have no rows.
+
+    ``bases``: cls, pos, base.  A class's task gets the bases of the classes above it, nothing else, so that hierarchies
+    of any number run side by side; ``known`` tells whether the base's own bases are in the table.
+    """
+    from ..sources.tables import importable
+
+    importable(bases.sparkSession)
+    kind = bases.schema["cls"].dataType.simpleString()
+    above = ancestors_of(bases).select(F.col("cls").alias("of"), F.col("base").alias("cls")).join(bases.select("cls", "pos", "base"), "cls")
+
+    def run(frame):
+        import pandas as pd
+
+        of, rows = frame["of"].iloc[0], {}
+        for c, _, b in sorted(zip(frame["cls"], frame["pos"], frame["base"]), key=lambda r: (str(r[0]), r[1])):
+            rows.setdefault(c, []).append(b)
+        order = linearized(rows).get(of) or []
+        return pd.DataFrame({"cls": [of] * len(order), "pos": range(len(order)), "base": order, "known": [b in rows for b in order]}, dtype=object)
+
+    return above.groupBy("of").applyInPandas(run, f"cls {kind}, pos int, base {kind}, known boolean")
+
+
 def inherited_member(orders: DataFrame, members: DataFrame) -> DataFrame:
     """(cls, name, owner): the first class after ``cls`` in its order that has a member; an unknown class ends the search.
 

@@ -60,6 +60,31 @@ def resolved(candidates: DataFrame, bound: DataFrame, members: DataFrame, shadow
     return out.select(*candidates.columns, target.alias("target"), reason.alias("reason"))
 
 
+def resolved_in_hierarchy(candidates: DataFrame, bound: DataFrame, members: DataFrame, shadowed: DataFrame, modules: DataFrame, orders: DataFrame) -> DataFrame:
+    """As :func:`resolved`, and where that ends at a class, on along its order (cls, pos, base, known).
+
+    ``self.x`` and ``cls.x`` take the first class after the own one that has ``x``; ``super().x`` (head ``super``) leaves the
+    own class out from the start; ``Name.x`` of a bound class takes the first above that.  A class whose bases are unknown
+    ends the search: what lies above it cannot be told.  Such a target's reason is ``parent_class_method``.
+    """
+    out = resolved(candidates, bound, members, shadowed, modules)
+    wall = orders.where("not known").groupBy("cls").agg(F.min("pos").alias("wall"))
+    reach = orders.join(wall, "cls", "left").where("pos > 0 and (wall is null or pos <= wall)")
+    met = reach.join(members.select(F.col("cls").alias("base"), "name", "sym_id"), "base")
+    first = met.groupBy("cls", "name").agg(F.min(F.struct("pos", "sym_id")).alias("b")).select("cls", "name", F.col("b.sym_id").alias("above"))
+    own = first.select("cls", F.col("name").alias("attr"), F.col("above").alias("above_own"))
+    of = first.select(F.col("cls").alias("of"), F.col("name").alias("attr"), F.col("above").alias("above_of"))
+    heads = bound.select("file_id", F.col("name").alias("head"), F.col("sym_id").alias("of"))
+    out = out.join(own, ["cls", "attr"], "left").join(heads, ["file_id", "head"], "left").join(of, ["of", "attr"], "left")
+    upward = F.when(F.col("head") == "super", F.col("above_own")).when(F.col("head").isin("self", "cls"), F.col("above_own"))
+    upward = upward.when(F.col("reason") == "unresolved_attribute", F.col("above_of"))
+    found = F.col("target").isNull() & upward.isNotNull()
+    return out.select(
+        *candidates.columns, F.when(found, upward).otherwise(F.col("target")).alias("target"),
+        F.when(found, "parent_class_method").when((F.col("head") == "super") & upward.isNull(), "unresolved_attribute").otherwise(F.col("reason")).alias("reason"),
+    )
+
+
 def reason_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("reason").agg(F.count("*").alias("n"))
 

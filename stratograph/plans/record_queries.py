@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import compare as C
 from ..operators import debt as D
+from ..operators import graph as G
 from ..operators import naming as N
+from ..operators import overlay as V
 from ..operators import placement as P
+from ..operators import resolve as R
 from ..operators import runs as U
 from ..operators import search as W
 from ..sources import publish
@@ -265,3 +268,29 @@ def symbol_cards(spark, d):
     parent = F.when(F.floor(k / 25) % 4 != 0, k - 25)
     rows = table(spark, d, "part").select((k % 25).alias("file_id"), k.alias("sym"), parent.alias("parent"), F.col("p_size").alias("lines"))
     return P.cards(rows).select("file_id", "sym", F.size("ring").alias("numbers"))
+
+
+@query("topological_levels", with_("sup", "e") + """,
+bu as (select distinct least(x.district, y.district) as src, greatest(x.district, y.district) as dst from e join sup x on x.file_id = e.src join sup y on y.file_id = e.dst where x.district <> y.district),
+hv as (select src, dst from (select *, row_number() over (partition by src order by dst) as rn from bu) where rn <= 2),
+w as (select src as node, 0 as level from hv where src not in (select dst from hv) union select hv.dst, level + 1 from w join hv on hv.src = w.node)
+select node, max(level) as level from w group by node""")
+def topological_levels(spark, d):
+    pairs = D.bundles(base.sup(spark, d), base.arcs(spark, d)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    rn = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+    return G.topological_levels(pairs.withColumn("rn", rn).where("rn <= 2").select("src", "dst"))
+
+
+@query("area_members", with_("sup") + """ select 'asia' as label, path from sup where starts_with(path, 'ASIA/') union select 'ones', path from sup where regexp_matches(path, '^[^/]*/[^/]*/[^/]*1$')""")
+def area_members(spark, d):
+    files = base.sup(spark, d)
+    rows = [("area", "asia", 0, "ASIA/**", None), ("area", "asia", 1, "ASIA/*/*", None), ("area", "ones", 0, "*/*/*1", None)]
+    return V.members(V.table(spark, rows), files)
+
+
+@query("class_orders")
+def class_orders(spark, d):
+    """Parts as classes: each derives from the parts of a half and of a third of its number."""
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select(k.alias("cls"), F.posexplode(F.array_distinct(F.array(F.floor(k / 2), F.floor(k / 3)))).alias("pos", "base"))
+    return R.linearizations(rows.where("base <> cls and base > 0"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+import configparser
 import json
 import re
 import subprocess
@@ -188,6 +190,30 @@ def npm_spec(name: str, spec: str) -> tuple:
     return (name, None, "version", spec) if spec not in ("", "*", "latest") else (name, None, "none", "")
 
 
+def setup_rows(path: str, text: str, ini: bool) -> tuple[list[tuple], list[tuple]]:
+    """The same of a ``setup.cfg``, or of the literal arguments of a ``setup.py``, which is read and never run."""
+    if ini:
+        data = configparser.ConfigParser(interpolation=None)
+        try:
+            data.read_string(text)
+        except configparser.Error as e:
+            raise ValueError(f"unreadable manifest {path}") from e
+        name, version = data.get("metadata", "name", fallback=None), data.get("metadata", "version", fallback=None)
+        needs = data.get("options", "install_requires", fallback="").splitlines()
+    else:
+        try:
+            calls = [n for n in ast.walk(ast.parse(text)) if isinstance(n, ast.Call) and getattr(n.func, "id", getattr(n.func, "attr", "")) == "setup"]
+        except SyntaxError as e:
+            raise ValueError(f"unreadable manifest {path}") from e
+        given = {k.arg: k.value for c in calls for k in c.keywords}
+        plain = lambda v: v.value if isinstance(v, ast.Constant) and isinstance(v.value, str) else None
+        name, version = plain(given.get("name")), plain(given.get("version"))
+        listed = given.get("install_requires")
+        needs = [plain(e) or "" for e in listed.elts] if isinstance(listed, (ast.List, ast.Tuple)) else []
+    provided = [("pypi", re.sub(r"[-_.]+", "-", name).lower(), version, path)] if name else []
+    return provided, [("pypi", path, "install_requires", *p) for p in map(pep508, (n.strip() for n in needs if n.strip())) if p]
+
+
 def manifest_rows(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
     """(provided, declared) rows of one manifest; unreadable text raises ValueError."""
     base, provided, declared = path.rsplit("/", 1)[-1], [], []
@@ -219,6 +245,9 @@ def manifest_rows(path: str, text: str) -> tuple[list[tuple], list[tuple]]:
             groups = {"dependencies": project.get("dependencies", []), **{f"optional.{k}": v for k, v in project.get("optional-dependencies", {}).items()}}
             for section, items in groups.items():
                 declared += [("pypi", path, section, *p) for p in map(pep508, items) if p]
+        elif base in ("setup.py", "setup.cfg"):
+            p, d = setup_rows(path, text, base == "setup.cfg")
+            provided, declared = provided + p, declared + d
         elif base.startswith("requirements") and base.endswith(".txt"):
             for line in text.splitlines():
                 line = line.split(" #")[0].strip()

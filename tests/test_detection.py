@@ -4,7 +4,7 @@ import pytest
 
 from stratograph.functions import text
 from stratograph.operators import detect, imports
-from stratograph.sources import python_names
+from stratograph.sources import go_names, python_names, repository
 
 REPO = {
     "go.mod": "module example.org/town\n\ngo 1.22\n",
@@ -124,6 +124,46 @@ def test_python_name_table(spark):
     assert {r["path"]: len(r["spans"]) for r in rows} == {"a.py": 3, "c.py": 0}
 
 
+GO = """// package wrong
+package hall
+
+import "fmt"
+import (
+	alias "example.org/town/road"
+	"example.org/town/park/v2"
+)
+
+type Door struct{ n int }
+type Opener interface { Open() error }
+const limit = 3
+
+func (d *Door) Open(a, b int, f func(x int) error) (int, error) { fmt.Println("func (x Y) No()") ; return alias.Width, nil }
+func (s Stack[T]) Push(v T) {}
+func plain() error { return nil }
+func Map[K any](k K) {}
+"""
+
+
+def test_go_names(spark):
+    got = go_names.go_file(GO)
+    assert got["package"] == "hall" and got["imports"] == [("fmt", "fmt"), ("alias", "example.org/town/road"), ("v2", "example.org/town/park/v2")]
+    assert got["selectors"] == [("alias", "Width"), ("fmt", "Println")]
+    assert [d[:5] for d in got["declared"]] == [
+        ("Door", "struct", None, None, None), ("Opener", "interface", None, None, None), ("limit", "const", None, None, None),
+        ("Open", "method", "Door", 3, 2), ("Push", "method", "Stack", 1, 0), ("plain", "func", None, 0, 1), ("Map", "func", None, 1, 0),
+    ]
+    assert go_names.go_names(spark.createDataFrame([("a.go", GO), ("b.go", None)], "path string, content string")).count() == 2
+
+
+def test_setup_files():
+    provided, declared = repository.manifest_rows("setup.py", "from setuptools import setup\nsetup(name='A_b', version='1', install_requires=['x>=2', 'y'])\n")
+    assert provided == [("pypi", "a-b", "1", "setup.py")] and [d[3] for d in declared] == ["x", "y"]
+    provided, declared = repository.manifest_rows("p/setup.cfg", "[metadata]\nname = c\n[options]\ninstall_requires =\n    z==1\n")
+    assert provided == [("pypi", "c", None, "p/setup.cfg")] and [d[3] for d in declared] == ["z"]
+    with pytest.raises(ValueError):
+        repository.manifest_rows("setup.py", "setup(")
+
+
 def test_texts():
     assert text.path_hash(["a"]) == "cycle-" + format(fnv(b"a\0"), "016x") and text.path_hash(["b", "a"]) == text.path_hash(["a", "b"])
     assert text.jsonc('{"a": "// no", /* x */ "b": [1, 2,], }') == {"a": "// no", "b": [1, 2]} and text.jsonc("{") is None

@@ -7,7 +7,7 @@ import subprocess
 import numpy as np
 import pytest
 
-from stratograph.operators import compare, debt, placement, runs, search
+from stratograph.operators import compare, debt, graph, naming, overlay, placement, resolve, runs, search, symbols
 from stratograph.sources import publish
 
 
@@ -236,3 +236,56 @@ def test_polygons(spark):
     polygons = spark.createDataFrame([("n", [{"x": x, "y": y} for x, y in notch])], "polygon string, ring array<struct<x:double,y:double>>")
     points = spark.createDataFrame([(1, 0.1, 0.5), (2, 0.5, 0.5), (3, 0.9, 0.5), (4, 0.5, 0.1), (5, 1.5, 0.5)], "point int, x double, y double")
     assert sorted(r["point"] for r in placement.inside_polygons(points, polygons, 0.3).collect()) == [1, 3, 4]
+
+
+def test_linearizations(spark):
+    # the textbook diamond, a class whose order does not exist, and one with an unknown base
+    rows = [("B", 0, "A"), ("C", 0, "A"), ("D", 0, "B"), ("D", 1, "C"), ("X", 0, "A"), ("X", 1, "B"), ("E", 0, "ext")]
+    got = {}
+    for r in resolve.linearizations(spark.createDataFrame(rows, "cls string, pos int, base string")).orderBy("cls", "pos").collect():
+        got.setdefault(r["cls"], []).append((r["base"], r["known"]))
+    assert [b for b, _ in got["D"]] == ["D", "B", "C", "A"] and "X" not in got and got["E"] == [("E", True), ("ext", False)]
+
+
+def test_references_up_the_hierarchy(spark):
+    orders = spark.createDataFrame([(1, 0, 1, True), (1, 1, 2, True), (1, 2, 3, True), (4, 0, 4, True), (4, 1, 9, False), (4, 2, 3, True)], "cls long, pos int, base long, known boolean")
+    members = spark.createDataFrame([(2, "walk", 20), (3, "walk", 30), (3, "stop", 31), (1, "own", 10)], "cls long, name string, sym_id long")
+    rows = [(1, 1, "self", "walk", "call", 1), (2, 1, "super", "stop", "call", 1), (3, 1, "self", "own", "call", 1), (4, 1, "self", "none", "call", 1), (5, 1, "Walker", "stop", "call", None), (6, 1, "self", "stop", "call", 4)]
+    candidates = spark.createDataFrame(rows, "owner long, file_id long, head string, attr string, kind string, cls long")
+    bound = spark.createDataFrame([(1, "Walker", 1)], "file_id long, name string, sym_id long")
+    none = spark.createDataFrame([], "owner long, name string"), spark.createDataFrame([], "name string, attr string, sym_id long")
+    got = {r["owner"]: (r["target"], r["reason"]) for r in symbols.resolved_in_hierarchy(candidates, bound, members, *none, orders).collect()}
+    up = "parent_class_method"
+    assert got == {1: (20, up), 2: (31, up), 3: (10, "resolved"), 4: (None, "unresolved_attribute"), 5: (31, up), 6: (None, "unresolved_attribute")}
+
+
+def test_topological_levels(spark):
+    arcs = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 5), (5, 4), (5, 6)], "src long, dst long")
+    assert {r["node"]: r["level"] for r in graph.topological_levels(arcs).collect()} == {1: 0, 2: 1, 3: 2}
+
+
+def test_routes_between_stops(ring):
+    files, arcs = ring
+    spark = files.sparkSession
+    specs = overlay.table(spark, [("stop", "w", 0, "f10", None), ("stop", "w", 1, "f30", None), ("stop", "w", 2, "f50", None), ("stop", "w", 3, "gone", None), ("stop", "w", 4, "f41", "by hand")])
+    got = [(r["kind"], r["steps"]) for r in overlay.hop_routes(specs, files, arcs).orderBy("pos").collect()]
+    assert got == [("imports", 2), ("imported-by", 3), ("no_route", None), ("declared", None)]
+    steps = graph.route_steps(arcs.selectExpr("src", "dst", "dst as pos"), files, 10, 30).orderBy("step").collect()
+    assert [(r["path"], r["district"]) for r in steps] == [("f10", 1), ("f20", 2), ("f30", 3)]
+    assert graph.route_steps(arcs.selectExpr("src", "dst", "dst as pos"), files, 10, 999).count() == 0
+
+
+def test_reports_that_mean_other_things():
+    debt.comparable({"version": 10, "pinned": "a"}, {"version": 10, "pinned": "a"})
+    for other in ({"version": 9, "pinned": "a"}, {"version": 10}):
+        with pytest.raises(ValueError):
+            debt.comparable({"version": 10, "pinned": "a"}, other)
+
+
+def test_names_are_unique_and_held(spark):
+    ranked = spark.createDataFrame([(d, t, s, r) for d in (0, 1, 2) for r, (t, s) in enumerate([("road", 2.0), (f"t{d}", 0.5)], 1)], "district long, segment string, score double, rank int")
+    sizes = spark.createDataFrame([(0, 5), (1, 9), (2, 3)], "district long, size long")
+    names = {r["district"]: r["name"] for r in naming.unique_names(ranked, sizes).collect()}
+    assert names == {1: "road", 0: "road / t0", 2: "road / t2"}
+    held = spark.createDataFrame([(2, "road")], "district long, name string")
+    assert {r["district"]: r["name"] for r in naming.unique_names(ranked, sizes, held).collect()} == {2: "road", 1: "road / t1", 0: "road / t0"}

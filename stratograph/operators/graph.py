@@ -6,12 +6,11 @@ import itertools
 import random
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_even
-from ..sources.tables import importable
+
 from .blend import ends
 
 RESOLUTION = 1.1
@@ -248,52 +247,46 @@ def sampled_sources(nodes: list, sample: int = SAMPLE, seed: int = SEED) -> list
 def betweenness(edges: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
     """(node, betweenness): share of shortest paths through a node, from all nodes or a sample of sources.
 
-    Each task walks from some sources over the broadcast neighbour lists (one district map: thousands of files), and the
-    contributions are summed by node.
+    All sources walk at once: each round joins the pairs of a source and a node that it reached last with the neighbours,
+    and the way back adds up, level by level, what lies behind a node.  A round's rows are at most the sources times the
+    nodes, and no task and no driver holds the graph.
     """
-    near = {r["node"]: r["neighbours"] for r in adjacency(edges).toLocalIterator()}
-    nodes = sorted(near)
-    sources = sampled_sources(nodes, sample, seed)
-    spark = edges.sparkSession
-    importable(spark)
-    shared = spark.sparkContext.broadcast(near)
-    kind = edges.schema["a"].dataType.simpleString()
-
-    def walk(frames):
-        graph = shared.value
-        for frame in frames:
-            rows: dict[tuple, float] = {}
-            for s in frame["source"].tolist():
-                order, parents, paths, depth = [], {s: []}, {s: 1.0}, {s: 0}
-                todo = deque([s])
-                while todo:
-                    v = todo.popleft()
-                    order.append(v)
-                    for w in graph[v]:
-                        if w not in depth:
-                            depth[w], paths[w], parents[w] = depth[v] + 1, 0.0, []
-                            todo.append(w)
-                        if depth[w] == depth[v] + 1:
-                            paths[w] += paths[v]
-                            parents[w].append(v)
-                part = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in parents[w]:
-                        part[v] += paths[v] / paths[w] * (1 + part[w])
-                    if w != s:
-                        rows[w] = rows.get(w, 0.0) + part[w]
-            yield pd.DataFrame({"node": list(rows), "part": list(rows.values())}, columns=["node", "part"])
-
-    starts = spark.createDataFrame([(s,) for s in sources], f"source {kind}").repartition(min(max(len(sources), 1), 64))
-    sums = starts.mapInPandas(walk, f"node {kind}, part double").groupBy("node").agg(F.sum("part").alias("part"))
-    n, k = len(nodes), len(sources)
-    listed = spark.createDataFrame([(v, v in set(sources)) for v in nodes], f"node {kind}, source boolean")
+    from ..sources.tables import checkpointed, numbered
+
+    ends_ = edges.select("a", "b").where("a <> b")
+    both = checkpointed(ends_.select(F.col("a").alias("v"), F.col("b").alias("w")).union(ends_.select("b", "a")).distinct())
+    nodes = checkpointed(numbered(both.select(F.col("v").alias("node")).distinct(), "node"))
+    n = nodes.count()
+    places = sampled_sources(range(n), sample, seed)
+    k = len(places)
+    chosen = edges.sparkSession.createDataFrame([(p,) for p in places], "place long")
+    # at most ``sample`` rows
+    listed = nodes.join(F.broadcast(chosen.withColumn("source", F.lit(True))), "place", "left").select("node", F.coalesce("source", F.lit(False)).alias("source"))
     if n <= 2:
         return listed.select("node", F.lit(0.0).alias("betweenness"))
+    frontier = checkpointed(listed.where("source").select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("paths")))
+    seen, levels = frontier.select("s", "v"), [frontier]
+    while True:
+        step = frontier.join(both, "v").groupBy("s", "w").agg(F.sum("paths").alias("paths"))
+        frontier = checkpointed(step.select("s", F.col("w").alias("v"), "paths").join(seen, ["s", "v"], "left_anti"))
+        if not frontier.limit(1).count():
+            break
+        levels.append(frontier)
+        seen = seen.union(frontier.select("s", "v"))
+    behind, sums = None, None
+    for level in reversed(levels):
+        if behind is None:
+            got = level.withColumn("part", F.lit(0.0))
+        else:
+            share = behind.join(both, "w").groupBy("s", "v").agg(F.sum("share").alias("share"))
+            got = checkpointed(level.join(share, ["s", "v"], "left").withColumn("part", F.col("paths") * F.coalesce("share", F.lit(0.0))).drop("share"))
+        behind = got.select("s", F.col("v").alias("w"), ((1 + F.col("part")) / F.col("paths")).alias("share"))
+        own = got.where("s <> v").select(F.col("v").alias("node"), "part")
+        sums = own if sums is None else sums.union(own)
     # a sampled source sees k - 1 other sources, any other node k
-    seen = F.when(F.col("source"), F.lit(max(k - 1, 1))).otherwise(F.lit(k)) if k < n else F.lit(n - 1)
-    value = F.coalesce("part", F.lit(0.0)) / (seen * F.lit(float(n - 2)))
-    return listed.join(sums, "node", "left").select("node", value.alias("betweenness"))
+    rivals = F.when(F.col("source"), F.lit(max(k - 1, 1))).otherwise(F.lit(k)) if k < n else F.lit(n - 1)
+    value = F.coalesce("part", F.lit(0.0)) / (rivals * F.lit(float(n - 2)))
+    return listed.join(sums.groupBy("node").agg(F.sum("part").alias("part")), "node", "left").select("node", value.alias("betweenness"))
 
 
 def capitals(files: DataFrame, degree: DataFrame, taken: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_even
-
 from .blend import ends
 
 RESOLUTION = 1.1

@@ -62,7 +62,7 @@ def resolve(specs: DataFrame, files: DataFrame, symbols: DataFrame | None = None
     keys = ["section", "label", "pos", "spec"]
     exact = parsed.where("kind = 'file'").join(files.select(F.col("path").alias("file")), "file").select(*keys)
     # an overlay is written by hand: its globs are few, and one pass over the files tries them all
-    globs = parsed.where("kind = 'glob'").select(*keys, F.udf(glob_regex, "string")("spec").alias("pattern"))
+    globs = parsed.where("kind = 'glob'").select(*keys, F.udf(lambda s: glob_regex(s), "string")("spec").alias("pattern"))
     hits = exact.union(files.select("path").join(F.broadcast(globs), F.expr("path rlike pattern")).select(*keys))
     if symbols is not None:
         named = symbols.join(files.select("file_id", "path"), "file_id").select(F.col("path").alias("file"), F.col("name").alias("symbol"), "start")
@@ -82,7 +82,7 @@ def members(specs: DataFrame, files: DataFrame) -> DataFrame:
     """(label, path): the files of every area, each once."""
     parsed = parsed_specs(specs).where("section = 'area'")
     exact = parsed.where("kind = 'file'").select("label", F.col("file").alias("path")).join(files.select("path"), "path").select("label", "path")
-    globs = parsed.where("kind = 'glob'").select("label", F.udf(glob_regex, "string")("spec").alias("pattern"))
+    globs = parsed.where("kind = 'glob'").select("label", F.udf(lambda s: glob_regex(s), "string")("spec").alias("pattern"))
     # written by hand, so few
     return exact.union(files.select("path").join(F.broadcast(globs), F.expr("path rlike pattern")).select("label", "path")).distinct()
 

@@ -234,11 +234,11 @@ def cross_flows(spark, d):
     return W.cross_flows(base.arcs(spark, d), _streets(spark, d), "ASIA")
 
 
-@query("polygon_test", """with p as (select l_orderkey * 10 + l_linenumber as point, avg(l_tax) as x, avg(l_discount) as y from lineitem group by 1),
+@query("polygon_test", """with p as (select l_orderkey * 10 + l_linenumber as point, min(l_tax) as x, min(l_discount) as y from lineitem group by 1),
 s as (select s_suppkey as polygon, (s_suppkey % 10) / 100.0::double + 0.0013 as cx, (s_suppkey // 10) / 100.0::double + 0.0017 as cy from supplier)
 select point, polygon from p join s on abs(x - cx) + abs(y - cy) < 0.011::double""")
 def polygon_test(spark, d):
-    pts = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point")).agg(F.avg("l_tax").alias("x"), F.avg("l_discount").alias("y"))
+    pts = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point")).agg(F.min("l_tax").alias("x"), F.min("l_discount").alias("y"))
     s, r = table(spark, d, "supplier"), 0.011
     cx, cy = (F.col("s_suppkey") % 10) / F.lit(100.0) + 0.0013, F.floor(F.col("s_suppkey") / 10) / F.lit(100.0) + 0.0017
     corner = lambda dx, dy: F.struct((cx + dx).alias("x"), (cy + dy).alias("y"))

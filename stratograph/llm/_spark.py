@@ -7,6 +7,7 @@ absent (tests), is a folder of this process made, once; a cluster without the se
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,7 +31,7 @@ def scratch_root(spark: SparkSession) -> str:
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,7 +34,7 @@ def scratch_root(spark: SparkSession) -> str:
     told = context.getConf().get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
-    if not context.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
     app = context.applicationId
     if app not in _own:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOPS = 4
+#: Most definitions that are sent to every executor: some 30 MB.
+MAX_BROADCAST_DEFINITIONS = 200_000
 
 
 def module_name(path: Column, package_root: str = "") -> Column:
@@ -165,12 +167,17 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 def symbol_references(definitions: DataFrame, references: DataFrame) -> DataFrame:
     """(src, dst, symbols, occurrences): file edges of a symbol index; local symbols and loops are left out.
 
-    ``definitions``: symbol, file_id; ``references``: symbol, file_id.
+    ``definitions``: symbol, file_id; ``references``: symbol, file_id.  The references of a file to a symbol are counted
+    before they meet its definitions: a pair of files then has one row for each symbol, however often that is used.
     """
     d = definitions.where(~F.col("symbol").startswith("local ")).select("symbol", F.col("file_id").alias("dst")).distinct()
-    r = references.where(~F.col("symbol").startswith("local ")).select("symbol", F.col("file_id").alias("src"))
-    met = r.join(d, "symbol").where("src <> dst")
-    return met.groupBy("src", "dst").agg(F.count_distinct("symbol").alias("symbols"), F.count("*").alias("occurrences"))
+    r = references.where(~F.col("symbol").startswith("local ")).groupBy("symbol", F.col("file_id").alias("src")).agg(F.count("*").alias("n"))
+    # a file's symbols stand together, so that its edges are summed where they are made
+    if d.count() <= MAX_BROADCAST_DEFINITIONS:
+        met = r.repartition("src").join(F.broadcast(d), "symbol")
+    else:
+        met = r.join(d, "symbol")
+    return met.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("symbols"), F.sum("n").alias("occurrences"))
 
 
 def symbol_category(symbol: Column) -> Column:

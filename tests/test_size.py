@@ -2,7 +2,8 @@
 
 import re
 
-from stratograph.operators import resolve
+from stratograph.operators import graph, resolve
+from stratograph.plans import catalogue
 
 
 def test_uses_are_counted_before_they_meet_definitions(spark, monkeypatch):
@@ -16,3 +17,16 @@ def test_uses_are_counted_before_they_meet_definitions(spark, monkeypatch):
         assert {tuple(r) for r in out.collect()} == want
         met = re.search(r"\bJoin\b(.*)", out._jdf.queryExecution().optimizedPlan().toString(), re.DOTALL)
         assert "count(1) AS n" in met[1]
+
+
+def test_scored_files_and_arcs_are_made_once(spark, sf):
+    """What landmarks reads many times is written before: none of its plan goes back to the tables of orders."""
+    plan = catalogue.QUERIES["landmarks"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan
+
+
+def test_levels_beyond_the_broadcast(spark, monkeypatch):
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (3, 0, 1.0), (3, 4, 1.0)], "a long, b long, weight double")
+    want = sorted(map(tuple, graph.betweenness(edges).collect()))
+    monkeypatch.setattr(graph, "MAX_BROADCAST_LEVEL", 0)
+    assert sorted(map(tuple, graph.betweenness(edges).collect())) == want and want[3][1] > want[0][1] > want[4][1] == 0

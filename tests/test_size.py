@@ -4,6 +4,9 @@ import re
 
 from stratograph.operators import graph, resolve
 from stratograph.plans import catalogue
+from stratograph.sources import document
+
+FILES = "file_id long, path string, district long, x double, y double, loc long, complexity long, churn long, fanin double, rx double, ry double, rw double, rh double, code_lines long"
 
 
 def test_uses_are_counted_before_they_meet_definitions(spark, monkeypatch):
@@ -30,3 +33,19 @@ def test_levels_beyond_the_broadcast(spark, monkeypatch):
     want = sorted(map(tuple, graph.betweenness(edges).collect()))
     monkeypatch.setattr(graph, "MAX_BROADCAST_LEVEL", 0)
     assert sorted(map(tuple, graph.betweenness(edges).collect())) == want and want[3][1] > want[0][1] > want[4][1] == 0
+
+
+def test_a_map_goes_on_in_further_parts(spark, tmp_path):
+    """Seven files and nine pairs in parts of three: what is read back is the map of one part."""
+    files = spark.createDataFrame([(i, f"p/{i}.py", i % 2, 0.1, 0.2, i, 2, 1, 1.0, 0.0, 0.0, 0.5, 0.5, 7) for i in range(7)], FILES)
+    arcs = spark.createDataFrame([(i, (i * 3 + j) % 7) for i in range(5) for j in (1, 2) if (i, j) != (4, 2)] * 2, "src long, dst long")
+    names = spark.createDataFrame([(0, "zero"), (1, "one")], "district long, name string")
+    for part in (3, 100):
+        doc = document.document(files, arcs, names, "r", "c", "py", 0.5, part=part)
+        sizes = [(len(r["F"]), len(r["E"])) for r in doc.collect()]
+        assert max(max(s) for s in sizes) <= part and len(sizes) == (3 if part == 3 else 1)
+        document.write(doc, str(tmp_path / str(part)))
+        got = document.load(spark, str(tmp_path / str(part)))
+        assert {(r["file_id"], r["path"], r["loc"]) for r in got["files"].collect()} == {(i, f"p/{i}.py", float(i)) for i in range(7)}
+        assert [(r["src"], r["dst"]) for r in got["arcs"].orderBy("pos").collect()] == sorted({tuple(r) for r in arcs.collect()})
+        assert got["head"].count() == 1 and {r["name"] for r in got["districts"].collect()} == {"zero", "one"}

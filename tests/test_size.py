@@ -2,7 +2,7 @@
 
 import re
 
-from stratograph.operators import graph, resolve
+from stratograph.operators import graph, partition, resolve
 from stratograph.plans import catalogue
 from stratograph.sources import document
 
@@ -49,3 +49,18 @@ def test_a_map_goes_on_in_further_parts(spark, tmp_path):
         assert {(r["file_id"], r["path"], r["loc"]) for r in got["files"].collect()} == {(i, f"p/{i}.py", float(i)) for i in range(7)}
         assert [(r["src"], r["dst"]) for r in got["arcs"].orderBy("pos").collect()] == sorted({tuple(r) for r in arcs.collect()})
         assert got["head"].count() == 1 and {r["name"] for r in got["districts"].collect()} == {"zero", "one"}
+
+
+def test_components_run_apart(spark):
+    """Two repositories with the same ids, of two components, a lone file each, and one without weight."""
+    ring = lambda k: [(k + i, k + j, 1.0) for i in range(5) for j in range(i)]
+    links = [(r, *e) for r in "pq" for e in ring(0) + ring(10) + [(20, 21, 1.0), (21, 22, 1.0)]]
+    edges = spark.createDataFrame(links + [("z", 1, 2, 0.0)], "repo string, a long, b long, weight double")
+    nodes = spark.createDataFrame([(r, v) for r in "pq" for v in [*range(5), *range(10, 15), 20, 21, 22, 99]] + [("z", 1), ("z", 2), ("z", 3)], "repo string, file_id long")
+    got = {(r["repo"], r["file_id"]): r["community"] for r in partition.partition(edges, nodes).collect()}
+    want = dict.fromkeys(range(5), 0) | dict.fromkeys(range(10, 15), 1)
+    for r in "pq":
+        assert {v: got[r, v] for v in want} == want and got[r, 99] == max(c for (x, _), c in got.items() if x == r)
+    assert [got["z", v] for v in (1, 2, 3)] == [0, 0, 0] and len(got) == 31
+    chain = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(70, 60), (60, 80)], "a long, b long")
+    assert {r["node"]: r["component"] for r in partition.components(chain).collect()} == dict.fromkeys(range(51), 0) | dict.fromkeys((60, 70, 80), 60)

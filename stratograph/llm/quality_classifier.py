@@ -9,8 +9,8 @@ sparse dot product and the bias.
 Training reads a bounded sample of labelled rows (``MAX_TRAINING``, by smallest MD5 of the doc_id, so that it does not
 depend on the row order), one text for each: of rows that repeat a sampled doc_id the smallest; of labels that repeat one
 the largest.  Features are made on the executors, and the per-coordinate updates, which are sequential, run
-in the driver over sparse rows: the distinct places of a whole text with their counts, at most ``2**BITS``.  Scoring
-covers every whole text too.
+in one task over sparse rows: the distinct places of a whole text with their counts, at most ``2**BITS``.  The driver gets
+the weights only (2 MB).  Scoring covers every whole text too.
 
 Defined results: null and empty texts have no features and score the bias's logistic; a null label or a label without a
 document trains nothing; without training rows every score is 0.5; a null doc_id is scored and never trains; repeated
@@ -123,6 +123,24 @@ def _featurise(batches):
         )
 
 
+def _trained(batches):
+    """One row: the weights after all updates, as bytes."""
+    examples = []
+    for part in batches:
+        places, weights = part.column("places"), part.column("weights")
+        ends = places.offsets.to_numpy().astype(np.int64)
+        p, w = places.values.to_numpy(), weights.values.to_numpy()
+        for rank, label, a, b in zip(part.column("rank").to_pylist(), part.column("label").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+            examples.append((rank, label, p[a:b], w[a:b]))
+    examples.sort(key=lambda x: (x[0], len(x[2]), x[3].sum()))
+    model = FollowTheLeader(1 << BITS)
+    bias = np.array([1 << BITS])
+    for _ in range(EPOCHS):
+        for _, label, places, values in examples:
+            model.update(np.concatenate([places, bias]), np.concatenate([values, [1.0]]), label)
+    yield pa.RecordBatch.from_arrays([pa.array([model.all_weights().tobytes()], pa.binary())], names=["model"])
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
@@ -143,21 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> np.nd
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     rows = rows.groupBy("rank", "label").agg(F.min("text").alias("text"))
     got = rows.select("rank", "label", "text").mapInArrow(_featurise, "rank string, label int, places array<int>, weights array<float>")
-    table = got.toArrow().combine_chunks()
-    places, weights = (table.column(c).combine_chunks() for c in ("places", "weights"))
-    ends = places.offsets.to_numpy().astype(np.int64)
-    places, weights = places.values.to_numpy(), weights.values.to_numpy()
-    examples = [
-        (rank, label, places[a:b], weights[a:b])
-        for rank, label, a, b in zip(table.column("rank").to_pylist(), table.column("label").to_pylist(), ends[:-1].tolist(), ends[1:].tolist())
-    ]
-    examples.sort(key=lambda x: (x[0], len(x[2]), x[3].sum()))
-    model = FollowTheLeader(1 << BITS)
-    bias = np.array([1 << BITS])
-    for _ in range(EPOCHS):
-        for _, label, places, values in examples:
-            model.update(np.concatenate([places, bias]), np.concatenate([values, [1.0]]), label)
-    return model.all_weights()
+    # the sample's features, some 7 KB a row, meet in one task, as each update needs the one before
+    model = got.repartition(1).mapInArrow(_trained, "model binary").collect()
+    return np.frombuffer(bytes(model[0]["model"])) if model else FollowTheLeader(1 << BITS).all_weights()
 
 
 def _scorer(shared, keep_above: float | None):

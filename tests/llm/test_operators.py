@@ -270,6 +270,19 @@ def test_training_sees_whole_texts():
     assert own.tolist() == np.unique(places).tolist() and weights.sum() == pytest.approx(quality_classifier.SCALE)
 
 
+def test_training_stays_out_of_the_driver(spark, monkeypatch):
+    """Updates run in a worker, which imports the module anew; the driver sees no features, only the weights."""
+    texts = [(i, f"{'good' if i % 2 else 'bad'} text {i}") for i in range(30)]
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+
+    def refused(*_):
+        raise AssertionError("an update in the driver")
+
+    monkeypatch.setattr(quality_classifier.FollowTheLeader, "update", refused)
+    weights = quality_classifier.train(docs, labels)
+    assert weights.shape == ((1 << quality_classifier.BITS) + 1,) and weights.any()
+
+
 def test_training_against_brute_force(spark):
     """The weights of rows trained one by one, with a dictionary for each table."""
     rng = random.Random(3)

@@ -86,3 +86,21 @@ def test_cosines_over_chunks(spark, monkeypatch):
         assert set(got) == {(a, b) for a, b in pairs if not block or bool(a % 5) == bool(b % 5)} and got
         assert all(abs(c - dot(*p)) < 1e-9 for p, c in got.items())
         assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 1
+
+
+def test_whole_packages_are_dealt_out(spark, monkeypatch):
+    """Rows of whole packages, as arrays or by a join, with a name that no file declares; arrays put no exchange over the rows."""
+    declared = [("big", f, f"n{f % 10}") for f in range(40)] + [("big", 40, "alone"), ("big", None, "n1"), ("one", 7, "x"), ("one", 7, "y"), ("one", 8, "z"), (None, 9, "x")]
+    selected = [(s, "big", f"n{s % 10}") for s in range(30)] + [(50, "big", "alone"), (51, "big", "alone"), (51, "big", "none"), (1, "one", "x"), (1, "one", "y"), (2, "one", "x"), (2, "one", "z"), (3, "lost", "x"), (4, None, "x")]
+    want = {(s, "big", f) for s in [*range(30), 51] for f in [*range(41), None]} | {(50, "big", 40), (1, "one", 7), (2, "one", 7), (2, "one", 8)}
+    have, names = spark.createDataFrame(declared, "package string, file long, name string"), spark.createDataFrame(selected, "src long, package string, name string")
+    for most, at_once, rows in ((2_000_000, 10_000, 10_000_000), (2_000_000, 7, 100), (0, 7, 100)):
+        for name, value in (("MAX_BROADCAST_FILES", most), ("FILES_AT_ONCE", at_once), ("ROWS_AT_ONCE", rows)):
+            monkeypatch.setattr(resolve, name, value)
+        out = resolve.narrowed_packages(names, have)
+        got = list(map(tuple, out.collect()))
+        assert set(got) == want and len(got) == len(want)
+        if most:
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            above = plan[: plan.index("Repartition")]
+            assert "explode(files" in above and "rightHint=(strategy=broadcast)" in above

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 
-from stratograph.operators import graph, pairs
+from stratograph.operators import graph, pairs, partition
 from stratograph.plans import base
 from stratograph.sources import tables
 
@@ -65,3 +65,20 @@ def test_sources_walk_over_arrays(spark, monkeypatch):
         got.append({r["node"]: round(r["betweenness"], 9) for r in graph.betweenness(edges, sample=sample).collect()})
         assert len(cuts) <= 3 if cells else len(cuts) > 8
     assert got[0] == got[1] == got[2] and max(got[2].values()) > 0 and got[3][3] > got[3][0] == 0
+
+
+def test_a_component_is_dealt_by_one_number(spark, monkeypatch):
+    """Rows in any order give what one run over the sorted graph gives; no sort of all arcs has more than one key."""
+    draw = random.Random(11)
+    links = sorted({(min(a, b), max(a, b)) for a, b in ((draw.randrange(40), draw.randrange(40)) for _ in range(160)) if a != b} | {(i, i + 1) for i in range(39)})
+    rows = [("r", b, a, float(1 + (a * b) % 3)) if draw.random() < 0.5 else ("r", a, b, float(1 + (a * b) % 3)) for a, b in links]
+    draw.shuffle(rows)
+    nodes = list(range(40))
+    want = partition.leiden([(min(a, b), max(a, b), w) for _, a, b, w in sorted(rows, key=lambda r: sorted(r[1:3]))], nodes)
+    draw.shuffle(nodes)
+    kind, keys = type(spark.range(0)), []
+    sort = kind.sortWithinPartitions
+    monkeypatch.setattr(kind, "sortWithinPartitions", lambda self, *c, **k: (keys.append(len(c)), sort(self, *c, **k))[1])
+    edges, files = spark.createDataFrame(rows, "repo string, a long, b long, weight double"), spark.createDataFrame([("r", v) for v in nodes], "repo string, file_id long")
+    assert {r["file_id"]: r["community"] for r in partition.partition(edges, files).collect()} == want
+    assert keys == [1]

@@ -4,8 +4,9 @@ import random
 from collections import Counter, defaultdict
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from stratograph.operators import graph, pairs, partition
+from stratograph.operators import graph, pairs, partition, resolve
 from stratograph.plans import base
 from stratograph.sources import tables
 
@@ -82,3 +83,14 @@ def test_a_component_is_dealt_by_one_number(spark, monkeypatch):
     edges, files = spark.createDataFrame(rows, "repo string, a long, b long, weight double"), spark.createDataFrame([("r", v) for v in nodes], "repo string, file_id long")
     assert {r["file_id"]: r["community"] for r in partition.partition(edges, files).collect()} == want
     assert keys == [1]
+
+
+def test_whole_packages_take_little_room(spark, tmp_path):
+    """A package's files are returned for one source after the other, so that equal arrays stand next to each other."""
+    files = spark.range(2712).selectExpr("if(id < 1203, 'x', 'y') as package", "id * 7919 % 100003 as file", "'n' as name")
+    names = spark.range(200).selectExpr("id as src", "explode(array('x', 'y')) as package", "'n' as name")
+    resolve.narrowed_packages(names, files).write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == out.distinct().count() == 200 * 2712
+    assert out.groupBy("package").agg({"file": "sum"}).exceptAll(files.groupBy("package").agg((F.sum("file") * 200).alias("s"))).count() == 0
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.6 * 200 * 2712
